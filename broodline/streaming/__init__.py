@@ -1,0 +1 @@
+"""Incremental runs of the per-record extracts over a file stream."""
