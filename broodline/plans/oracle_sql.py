@@ -273,6 +273,223 @@ from po group by PopID""",
 }
 
 
+def _r6(*cols: str) -> str:
+    """``* replace (round(c, 6) as c, ...)`` for the double output columns."""
+    return "* replace (" + ", ".join(f"round({c}, 6) as {c}" for c in cols) + ")"
+
+
+_RECODE = ("case when ExperimentID in ('NA;NA;NA','NA','FALSE') or ExperimentID like '%control%' "
+           "then null else ExperimentID end")
+
+BREEDING_CTES = f"""
+brood AS ({BROOD_VIEW_SQL}),
+capture AS ({CAPTURE_VIEW_SQL}),
+br AS (
+  select PopID, BreedingSeason, LocationID, FemaleID, MaleID, LayDate_observed, ClutchType_calculated,
+    case when ({_RECODE}) is null then 'n' else 'y' end as Experiment, row_ord
+  from brood
+  where Species = 'PARMAJ' and (FemaleID is not null or MaleID is not null)
+    and not coalesce(FemaleID in ('0','1','1e+06'), false) and not coalesce(MaleID in ('0','1'), false)
+),
+records AS (
+  select PopID, BreedingSeason, LocationID, FemaleID, MaleID, LayDate_observed, ClutchType_calculated,
+    Experiment, min(row_ord) as row_ord
+  from br group by PopID, BreedingSeason, LocationID, FemaleID, MaleID, LayDate_observed,
+    ClutchType_calculated, Experiment
+),
+fid AS (
+  select r.*,
+    case when FemaleID is null then 0
+         else count(distinct BreedingSeason) over (partition by PopID, FemaleID) end as num_yrs,
+    case when FemaleID is not null and MaleID is not null and lag(MaleID) over w = MaleID
+              and lag(BreedingSeason) over w <> BreedingSeason then 'same'
+         when FemaleID is not null and MaleID is not null and lag(MaleID) over w <> MaleID
+              and lag(BreedingSeason) over w <> BreedingSeason then 'switched' end as partner,
+    cast(length(FemaleID) as integer) as ncharID_F, cast(length(MaleID) as integer) as ncharID_M
+  from records r
+  window w as (partition by PopID, FemaleID order by BreedingSeason, LayDate_observed nulls last, row_ord)
+),
+rep AS (
+  select PopID, BreedingSeason,
+    count(distinct case when partner = 'same' then FemaleID end) as repairs,
+    count(distinct case when partner is not null then FemaleID end) as tot_pairs
+  from fid where ClutchType_calculated = 'first' group by PopID, BreedingSeason
+),
+"""
+
+FLEDGE_CTES = f"""
+brood AS ({BROOD_VIEW_SQL}),
+fin AS (
+  select Species, PopID, BreedingSeason, LocationID, FemaleID, MaleID, ClutchType_calculated,
+    LayDate_observed, cast(coalesce(NumberFledged_observed, NumberFledged) as integer) as NumberFledged
+  from brood where Species = 'PARMAJ' and ({_RECODE}) is null
+),
+fm0 AS (
+  select *,
+    avg(case when ClutchType_calculated = 'first' then NumberFledged end) over ps as first_clutch_avg,
+    avg(case when ClutchType_calculated in ('second','replacement') then NumberFledged end) over ps
+      as second_clutch_avg,
+    count(distinct case when ClutchType_calculated = 'second' then LocationID end) over ps
+      + max(case when ClutchType_calculated is null
+                  or (ClutchType_calculated = 'second' and LocationID is null) then 1 else 0 end) over ps
+      as second_n,
+    count(*) over ps as clutches_,
+    case when FemaleID is not null and FemaleID not in ('0','1','1e+06')
+         then sum(NumberFledged) over (partition by PopID, BreedingSeason, FemaleID) end as tot_fledged_fem,
+    sum(NumberFledged) over (partition by PopID, BreedingSeason, LocationID) as tot_fledged_nest
+  from fin window ps as (partition by PopID, BreedingSeason)
+),
+fm AS (
+  select PopID, BreedingSeason, max(clutches_) as clutches,
+    max(second_n) / max(clutches_) as prop_second_clutch,
+    coalesce(max(first_clutch_avg), 0) + coalesce(max(second_clutch_avg), 0) as avg_sum_clutch,
+    count(distinct FemaleID) as females, avg(tot_fledged_fem) as fledge_fem_avg,
+    count(distinct LocationID) as nests, avg(tot_fledged_nest) as fledge_nest_avg
+  from fm0 group by PopID, BreedingSeason
+),
+metrics AS (
+  select *, round_even(avg(fledge_ratio) over (partition by PopID), 2) as fledge_ratio_avg
+  from (select *, females / clutches as fem_clutch_ratio,
+          case when fledge_nest_avg = 0 then null else fledge_fem_avg / fledge_nest_avg end as fledge_ratio
+        from fm) x
+),
+adj1 AS (
+  select *, prop_NA > 0.5 as pooled, case when prop_NA > 0.5 then null else PopID end as fit_key
+  from (select *, count(*) filter (where fledge_ratio is null) over (partition by PopID)
+                  / count(*) over (partition by PopID) as prop_NA from metrics) x
+),
+fits AS (
+  select fit_key, regr_slope(fledge_ratio, prop_second_clutch) as b,
+    regr_intercept(fledge_ratio, prop_second_clutch) as a,
+    regr_avgy(fledge_ratio, prop_second_clutch) as ay, regr_sxx(fledge_ratio, prop_second_clutch) as sxx
+  from adj1 group by fit_key
+),
+adj AS (
+  select a1.* exclude (fit_key),
+    case when f.sxx > 0 then f.a + f.b * a1.prop_second_clutch else f.ay end as fledge_ratio_pred,
+    fledge_nest_avg * (case when f.sxx > 0 then f.a + f.b * a1.prop_second_clutch else f.ay end)
+      as fledge_nest_avg_adj
+  from adj1 a1 left join fits f on a1.fit_key is not distinct from f.fit_key
+),
+cor0 AS (
+  select PopID, BreedingSeason, fledge_fem_avg as x, fledge_nest_avg_adj as y from adj
+  where fledge_fem_avg is not null and fledge_nest_avg_adj is not null
+),
+ranked AS (
+  select PopID, BreedingSeason,
+    rank() over (partition by PopID order by x) + (count(*) over (partition by PopID, x) - 1) / 2.0 as rx,
+    rank() over (partition by PopID order by y) + (count(*) over (partition by PopID, y) - 1) / 2.0 as ry
+  from cor0
+),
+agree AS (
+  select PopID,
+    round_even(case when regr_sxx(ry, rx) > 0 and regr_syy(ry, rx) > 0
+      then regr_sxy(ry, rx) / sqrt(regr_sxx(ry, rx) * regr_syy(ry, rx)) end, 2) as cor,
+    count(distinct BreedingSeason) as count
+  from ranked group by PopID
+),
+std AS (
+  select PopID, BreedingSeason, fledge_nest_avg_adj as pop_year_fledge_avg,
+    avg(fledge_nest_avg_adj) over p as pop_tot_fledge_avg,
+    stddev_samp(fledge_nest_avg_adj) over p as pop_tot_fledge_sd,
+    (fledge_nest_avg_adj - avg(fledge_nest_avg_adj) over p)
+      / nullif(stddev_samp(fledge_nest_avg_adj) over p, 0) as envStd_fledge_num
+  from adj window p as (partition by PopID)
+),
+"""
+
+
+def _change(src: str) -> str:
+    return f"""
+select PopID, BreedingSeason, round(envStd_fledge_num, 6) as envStd_fledge_num,
+  round((d - avg(d) over p) / nullif(stddev_samp(d) over p, 0), 6) as Ztrans_envStd_fledge_num_lag
+from (select *, abs(envStd_fledge_num - lag(envStd_fledge_num)
+                    over (partition by PopID order by BreedingSeason)) as d from {src}) x
+window p as (partition by PopID)"""
+
+
+_METRIC_COLS = ("prop_second_clutch", "avg_sum_clutch", "fledge_fem_avg", "fledge_nest_avg",
+                "fem_clutch_ratio", "fledge_ratio", "fledge_ratio_avg")
+_STD_COLS = ("pop_year_fledge_avg", "pop_tot_fledge_avg", "pop_tot_fledge_sd", "envStd_fledge_num")
+
+OTHER_QUERIES: dict[str, str] = {
+    "breeding_records": _with(BREEDING_CTES) + "select * from records",
+    "partner_fidelity": _with(BREEDING_CTES) + "select * from fid",
+    "repair_rate": _with(BREEDING_CTES) + """
+select PopID, BreedingSeason, repairs, tot_pairs,
+  round(case when tot_pairs = 0 then null else repairs / tot_pairs end, 6) as repair_prop
+from rep where PopID in (select PopID from rep group by PopID having sum(repairs) > 0)""",
+    "capture_records": _with(f"capture AS ({CAPTURE_VIEW_SQL}),") + """
+select CapturePopID, IndvID, BreedingSeason, Age_calculated, Experiment from (
+  select *, case when bool_or(ExperimentID is not null) over (partition by BreedingSeason, IndvID)
+                 then 'y' else 'n' end as Experiment,
+    row_number() over (partition by IndvID, BreedingSeason order by row_ord) as rn
+  from capture where Species = 'PARMAJ') x
+where rn = 1 and CapturePopID is not null and IndvID is not null and BreedingSeason is not null
+  and Age_calculated is not null""",
+    "fledge_metrics": _with(FLEDGE_CTES) + f"select {_r6(*_METRIC_COLS)} from metrics",
+    "fledge_adjusted": _with(FLEDGE_CTES) +
+        f"select {_r6(*_METRIC_COLS, 'prop_NA', 'fledge_ratio_pred', 'fledge_nest_avg_adj')} from adj",
+    "fledge_line_by_group": _with(FLEDGE_CTES) + """
+select PopID,
+  round(case when regr_sxx(fledge_ratio, prop_second_clutch) > 0
+    then regr_intercept(fledge_ratio, prop_second_clutch)
+    else regr_avgy(fledge_ratio, prop_second_clutch) end, 6) as intercept,
+  round(case when regr_sxx(fledge_ratio, prop_second_clutch) > 0
+    then regr_slope(fledge_ratio, prop_second_clutch) end, 6) as slope,
+  cast(regr_count(fledge_ratio, prop_second_clutch) as bigint) as n
+from metrics group by PopID""",
+    "metric_agreement": _with(FLEDGE_CTES) + "select PopID, round(cor, 6) as cor, count from agree",
+    "metric_agreement_overall": _with(FLEDGE_CTES) + """
+select round(sum(case when cor is not null then cor * count end)
+  / nullif(sum(case when cor is not null then count end), 0), 6) as weighted_cor from agree""",
+    "fledge_standardised": _with(FLEDGE_CTES) + f"select {_r6(*_STD_COLS)} from std",
+    "fledge_change": _with(FLEDGE_CTES) + _change("std"),
+    "fledge_change_skip_missing": _with(FLEDGE_CTES) + _change(
+        "(select * from std where pop_year_fledge_avg is not null and pop_tot_fledge_avg is not null"
+        " and pop_tot_fledge_sd is not null and envStd_fledge_num is not null)"),
+    "metric_long": _with(FLEDGE_CTES) + """
+select PopID, BreedingSeason, 'fledge_fem_avg' as metric, round(fledge_fem_avg, 6) as value from adj
+union all select PopID, BreedingSeason, 'fledge_nest_avg', round(fledge_nest_avg, 6) from adj
+union all select PopID, BreedingSeason, 'fledge_nest_avg_adj', round(fledge_nest_avg_adj, 6) from adj""",
+    "metric_diff_long": _with(FLEDGE_CTES) + """
+select PopID, BreedingSeason, round(diff_diff, 6) as diff_diff, metric, round(value, 6) as value from (
+  select PopID, BreedingSeason, (fledge_fem_avg - fledge_nest_avg_adj) - (fledge_fem_avg - fledge_nest_avg)
+      as diff_diff, 'raw_diff' as metric, fledge_fem_avg - fledge_nest_avg as value from adj
+  union all
+  select PopID, BreedingSeason, (fledge_fem_avg - fledge_nest_avg_adj) - (fledge_fem_avg - fledge_nest_avg),
+      'adj_diff', fledge_fem_avg - fledge_nest_avg_adj from adj) x""",
+    "low_female_coverage": _with(FLEDGE_CTES) + """
+select PopID, BreedingSeason, round(fledge_nest_avg, 6) as fledge_nest_avg,
+  round(fledge_fem_avg, 6) as fledge_fem_avg, round(fem_clutch_ratio, 6) as fem_clutch_ratio
+from adj where fledge_fem_avg is not null and fledge_nest_avg_adj is not null and fem_clutch_ratio < 0.5""",
+    "coverage_by_clutch": _with(FLEDGE_CTES) + """
+select PopID, ClutchType_calculated, count(*) as tot_obs, count(FemaleID) as female_id,
+  round(count(FemaleID) / count(*), 6) as perc_id
+from fin group by PopID, ClutchType_calculated""",
+    "nests_females_per_year": _with(FLEDGE_CTES) + """
+select PopID, BreedingSeason, count(distinct LocationID) as nests, count(distinct FemaleID) as fems
+from fin group by PopID, BreedingSeason""",
+}
+
+_OVERVIEW = """
+pops AS (select distinct PopID as pop_code from brood union all select 'NODATA'),
+done AS (select distinct pop as PopID from final where pop <> (select max(pop) from final)),
+"""
+OTHER_QUERIES["population_overview"] = _with(_PAIRS, _OVERVIEW) + """
+select a.PopID, a.num_pairs, b.num_years, d.done from
+  (select PopID, count(*) as num_pairs from (select distinct PopID, MaleID, FemaleID from brood
+     where MaleID is not null and FemaleID is not null) x group by PopID) a
+  join (select PopID, cast(max(BreedingSeason) + 1 - min(BreedingSeason) as integer) as num_years
+        from brood where MaleID is not null and FemaleID is not null group by PopID) b on a.PopID = b.PopID
+  left join (select p.pop_code as PopID, dd.done from pops p
+             left join (select distinct PopID, 'yes' as done from done) dd on p.pop_code = dd.PopID) d
+    on a.PopID = d.PopID"""
+OTHER_QUERIES["populations_missing"] = _with(_PAIRS, _OVERVIEW) + \
+    "select pop_code from pops where pop_code not in (select PopID from done)"
+
+
 def oracle_queries() -> dict[str, str]:
     out = dict(PAIR_QUERIES)
+    out.update(OTHER_QUERIES)
     return out

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broodline.operators import history, pairs
+from broodline.operators import breeding, captures, fledge, history, overview, pairs
 from broodline.session import materialize
-from broodline.sources.adapters import brood_view, capture_view
+from broodline.sources.adapters import brood_view, capture_view, done_view, populations_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +122,105 @@ def q_wide_history_male(spark, d):
     return history.wide_history(_codes(spark, d, "male"), "male")
 
 
+# ---------------------------------------------------------------- records (P4, P5)
+def _records(spark, d):
+    return breeding.breeding_records(brood_view(spark, d))
+
+
+def q_breeding_records(spark, d):
+    return _records(spark, d)
+
+
+def q_partner_fidelity(spark, d):
+    return breeding.partner_fidelity(_records(spark, d))
+
+
+def q_repair_rate(spark, d):
+    return round_doubles(breeding.repair_rate(breeding.partner_fidelity(_records(spark, d))))
+
+
+def q_capture_records(spark, d):
+    return captures.capture_records(capture_view(spark, d))
+
+
+# ---------------------------------------------------------------- fledge index (P6)
+def _metrics(spark, d):
+    return fledge.fledge_metrics(fledge.fledge_input(brood_view(spark, d)))
+
+
+def _adjusted(spark, d):
+    return fledge.adjust_by_regression(_metrics(spark, d))
+
+
+def q_fledge_metrics(spark, d):
+    return round_doubles(_metrics(spark, d))
+
+
+def q_fledge_adjusted(spark, d):
+    return round_doubles(_adjusted(spark, d))
+
+
+def q_fledge_line_by_group(spark, d):
+    return round_doubles(fledge.fledge_line_by_group(_metrics(spark, d)))
+
+
+def q_metric_agreement(spark, d):
+    return round_doubles(fledge.metric_agreement(_adjusted(spark, d)))
+
+
+def q_metric_agreement_overall(spark, d):
+    return round_doubles(fledge.metric_agreement_overall(fledge.metric_agreement(_adjusted(spark, d))))
+
+
+def q_fledge_standardised(spark, d):
+    return round_doubles(fledge.standardise(_adjusted(spark, d)))
+
+
+def q_fledge_change(spark, d):
+    return round_doubles(fledge.standardised_change(fledge.standardise(_adjusted(spark, d))))
+
+
+def q_fledge_change_skip_missing(spark, d):
+    return round_doubles(fledge.standardised_change(fledge.standardise(_adjusted(spark, d)),
+                                                    skip_missing=True))
+
+
+def q_metric_long(spark, d):
+    return round_doubles(fledge.metric_long(_adjusted(spark, d)))
+
+
+def q_metric_diff_long(spark, d):
+    return round_doubles(fledge.metric_diff_long(_adjusted(spark, d)))
+
+
+def q_low_female_coverage(spark, d):
+    return round_doubles(fledge.low_female_coverage(_adjusted(spark, d)))
+
+
+def q_coverage_by_clutch(spark, d):
+    return round_doubles(fledge.coverage_by_clutch(fledge.fledge_input(brood_view(spark, d))))
+
+
+def q_nests_females_per_year(spark, d):
+    return fledge.nests_females_per_year(fledge.fledge_input(brood_view(spark, d)))
+
+
+# ---------------------------------------------------------------- overview (P8)
+def _lookups(spark, d):
+    b = brood_view(spark, d)
+    return b, populations_view(b), done_view(final_pairs_tie(spark, d))
+
+
+def q_population_overview(spark, d):
+    b, pops, done = _lookups(spark, d)
+    return overview.population_overview(b, pops, done)
+
+
+def q_populations_missing(spark, d):
+    _, pops, done = _lookups(spark, d)
+    return overview.populations_missing(pops, done)
+
+
 QUERIES: dict[str, Query] = {
     "partner_multiplicity": q_partner_multiplicity,
     "partner_crosstab": q_partner_crosstab,
@@ -139,4 +238,23 @@ QUERIES: dict[str, Query] = {
     "event_codes_male": q_event_codes_male,
     "wide_history_female": q_wide_history_female,
     "wide_history_male": q_wide_history_male,
+    "breeding_records": q_breeding_records,
+    "partner_fidelity": q_partner_fidelity,
+    "repair_rate": q_repair_rate,
+    "capture_records": q_capture_records,
+    "fledge_metrics": q_fledge_metrics,
+    "fledge_adjusted": q_fledge_adjusted,
+    "fledge_line_by_group": q_fledge_line_by_group,
+    "metric_agreement": q_metric_agreement,
+    "metric_agreement_overall": q_metric_agreement_overall,
+    "fledge_standardised": q_fledge_standardised,
+    "fledge_change": q_fledge_change,
+    "fledge_change_skip_missing": q_fledge_change_skip_missing,
+    "metric_long": q_metric_long,
+    "metric_diff_long": q_metric_diff_long,
+    "low_female_coverage": q_low_female_coverage,
+    "coverage_by_clutch": q_coverage_by_clutch,
+    "nests_females_per_year": q_nests_females_per_year,
+    "population_overview": q_population_overview,
+    "populations_missing": q_populations_missing,
 }
