@@ -27,7 +27,9 @@ def read_csv_r(spark: SparkSession, path: str, schema: T.StructType,
     for f in schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, T.StringType):
-            c = F.nullif(c, F.lit("NA")) if flavour == "base" else F.nullif(c, F.lit(""))
+            # base: the only NULLs Spark yields here are unquoted empty fields -> ""
+            c = F.nullif(F.coalesce(c, F.lit("")), F.lit("NA")) if flavour == "base" \
+                else F.nullif(c, F.lit(""))
         else:
             c = F.nullif(F.nullif(c, F.lit("NA")), F.lit("")).try_cast(f.dataType)
         out.append(c.alias(f.name))
