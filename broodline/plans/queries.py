@@ -35,7 +35,7 @@ CLEAN_COLS = ["row_ord", "PopID", "BreedingSeason", "LocationID", "FemaleID", "M
 
 # ---------------------------------------------------------------- pairs (P1)
 def _clean(spark, d):
-    return materialize(pairs.clean_pairs(pairs.pairing_brood(brood_view(spark, d))))
+    return materialize(pairs.clean_pairs(pairs.pairing_brood(materialize(brood_view(spark, d)))))
 
 
 def q_partner_multiplicity(spark, d):
@@ -69,8 +69,10 @@ def q_capture_enrichment(spark, d):
 
 
 def _ordered_pairs(spark, d, mode="literal"):
-    return pairs.pairs_table(brood_view(spark, d), capture_view(spark, d), mode=mode,
-                             stage=materialize)
+    # the chain reads each input several times (aggregate + join back); the adapter views
+    # are derived tables, so they are written once, like the stored tables they stand for
+    return pairs.pairs_table(materialize(brood_view(spark, d)), materialize(capture_view(spark, d)),
+                             mode=mode, stage=materialize)
 
 
 def q_build_pairs(spark, d):
