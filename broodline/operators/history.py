@@ -121,3 +121,55 @@ def write_histories_per_population(codes: DataFrame, path: str) -> None:
     repartition on ``pop``: a large population would land in one task)."""
     from broodline.sources.rcsv import write_csv_r
     write_csv_r(codes, path, partition_by="pop")
+
+
+def pair_diagnostics(pairs: DataFrame) -> DataFrame:
+    """Diagnostic columns of the reference's male test variant, per row of the male grid
+    (every known male x every observed year of its population; filled rows have
+    ``female`` and ``row_ord`` NULL). Rows are ordered by (year, input order); no clutch
+    order and no keep-first, as in that variant.
+
+    ``prev_partner``: female of the male's previous grid row.
+    ``prev_partner_known_pair``: the row's male is known (always TRUE here).
+    ``breeding_previous_year``: for a known female, FALSE on her first row in the order
+    (prev_partner, year, male; NULL last, then input order), TRUE on later rows.
+    ``same_female_partner``: within (pop, female, year) in that order, whether the male
+    equals the previous row's male (NULL when either is unknown or on the first row).
+    Cross-year lags run on one row per (pop, male, year); within-year windows hold the
+    records of one bird in one season.
+    """
+    P = pairs.select("pop", "year", "female", "male", "row_ord")
+    years = P.select("pop", "year").distinct()
+    recs = P.where(F.col("male").isNotNull())
+    per_year = recs.groupBy("pop", "male", "year").agg(
+        F.max_by("female", "row_ord").alias("_last_f"), F.count(F.lit(1)).alias("_n"))
+    grid = recs.select("pop", "male").distinct().join(years, "pop") \
+        .join(per_year, ["pop", "male", "year"], "left")
+    grid = grid.withColumn(
+        "_prev_year", F.lag("_last_f").over(Window.partitionBy("pop", "male").orderBy("year")))
+    wy = Window.partitionBy("pop", "male", "year").orderBy("row_ord")
+    real = recs.join(grid.select("pop", "male", "year", "_prev_year"), ["pop", "male", "year"]) \
+        .withColumn("prev_partner", F.when(F.row_number().over(wy) == 1, F.col("_prev_year"))
+                    .otherwise(F.lag("female").over(wy))).drop("_prev_year")
+    filled = grid.where(F.col("_n").isNull()).select(
+        "pop", "year", F.lit(None).cast("string").alias("female"), "male",
+        F.lit(None).cast("bigint").alias("row_ord"), F.col("_prev_year").alias("prev_partner"))
+    rows = real.select("pop", "year", "female", "male", "row_ord", "prev_partner") \
+        .unionByName(filled)
+
+    order = ["prev_partner", "year", "male", "row_ord"]
+    first = rows.where(F.col("female").isNotNull()).groupBy("pop", "female").agg(
+        F.min_by("row_ord", F.struct(*[x for c in order for x in
+                                       (F.col(c).isNull(), F.col(c))])).alias("_first"))
+    rows = rows.join(first, ["pop", "female"], "left")
+    wf = Window.partitionBy("pop", "female", "year").orderBy(
+        *[F.col(c).asc_nulls_last() for c in ("prev_partner", "male", "row_ord")])
+    lm = F.lag("male").over(wf)
+    known = F.col("female").isNotNull() & F.col("male").isNotNull() & (F.row_number().over(wf) > 1)
+    return rows.select(
+        "pop", "year", "female", "male", "row_ord", "prev_partner",
+        F.col("male").isNotNull().alias("prev_partner_known_pair"),
+        F.when(F.col("female").isNotNull(), F.col("row_ord") != F.col("_first"))
+         .alias("breeding_previous_year"),
+        F.when(known & (F.col("male") == lm), True).when(known & (F.col("male") != lm), False)
+         .alias("same_female_partner"))

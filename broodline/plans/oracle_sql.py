@@ -489,6 +489,31 @@ OTHER_QUERIES["populations_missing"] = _with(_PAIRS, _OVERVIEW) + \
     "select pop_code from pops where pop_code not in (select PopID from done)"
 
 
+OTHER_QUERIES["pair_diagnostics"] = _with(_PAIRS) + """
+, yrs_d AS (select distinct pop, year from final),
+mal_d AS (select distinct pop, male from final where male is not null),
+g_d AS (
+  select pop, year, female, male, row_ord from final where male is not null
+  union all
+  select m.pop, y.year, null, m.male, null from mal_d m join yrs_d y on m.pop = y.pop
+  where not exists (select 1 from final f where f.pop = m.pop and f.male = m.male and f.year = y.year)
+),
+l_d AS (select *, lag(female) over (partition by pop, male order by year, row_ord nulls last)
+          as prev_partner from g_d)
+select pop, year, female, male, row_ord, prev_partner, male is not null as prev_partner_known_pair,
+  case when female is null then null
+       when row_number() over (partition by pop, female order by prev_partner nulls last, year,
+                               male nulls last, row_ord nulls last) = 1 then false else true end
+    as breeding_previous_year,
+  case when female is not null and male is not null and lag(female) over w2 is not null
+            and male = lag(male) over w2 then true
+       when female is not null and male is not null and lag(female) over w2 is not null
+            and male <> lag(male) over w2 then false end as same_female_partner
+from l_d
+window w2 as (partition by pop, female, year order by prev_partner nulls last, male nulls last,
+              row_ord nulls last)"""
+
+
 def oracle_queries() -> dict[str, str]:
     out = dict(PAIR_QUERIES)
     out.update(OTHER_QUERIES)

@@ -124,6 +124,10 @@ def q_wide_history_male(spark, d):
     return history.wide_history(_codes(spark, d, "male"), "male")
 
 
+def q_pair_diagnostics(spark, d):
+    return history.pair_diagnostics(final_pairs_tie(spark, d))
+
+
 # ---------------------------------------------------------------- records (P4, P5)
 def _records(spark, d):
     return breeding.breeding_records(brood_view(spark, d))
@@ -240,6 +244,7 @@ QUERIES: dict[str, Query] = {
     "event_codes_male": q_event_codes_male,
     "wide_history_female": q_wide_history_female,
     "wide_history_male": q_wide_history_male,
+    "pair_diagnostics": q_pair_diagnostics,
     "breeding_records": q_breeding_records,
     "partner_fidelity": q_partner_fidelity,
     "repair_rate": q_repair_rate,
