@@ -5,7 +5,7 @@ Sub-packages:
   sources/    table readers, adapter views, R-compatible CSV readers and sinks
   operators/  the domain operators (pairs, captures, histories, breeding, fledge, overview)
   plans/      named end-to-end queries over the driver tables and their SQL oracles
-  streaming/  incremental (file-stream) runner for the per-record extracts
+  streaming/  intentionally empty: the reference has no streaming code
 """
 
 from broodline.session import get_spark, ensure_checkpoint_dir

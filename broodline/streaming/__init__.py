@@ -1 +1,6 @@
-"""Incremental runs of the per-record extracts over a file stream."""
+"""Streaming: intentionally empty.
+
+The reference has no streaming, windowed-time or stateful code (all of its inputs are
+static files), so no streaming operator is built. The batch operators are plain
+DataFrame functions and can be applied inside ``foreachBatch`` if ever needed.
+"""
