@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broodline.functions.nulls import first_last_by
+from broodline.session import cut_if_deep
 
 ROLES = {
     "female": ("male", "f_pair_num"),
@@ -53,7 +54,7 @@ def event_codes(pairs: DataFrame, focal: str = "female",
     """
     partner, pair_num = ROLES[focal]
     order = _record_order(focal)
-    P = pairs.select("pop", "year", focal, partner, pair_num, "order", "source_rank", "row_ord")
+    P = cut_if_deep(pairs).select("pop", "year", focal, partner, pair_num, "order", "source_rank", "row_ord")
 
     # observed years of each population (any row, also rows of unknown focal birds)
     years = P.select("pop", "year").distinct()
@@ -138,7 +139,7 @@ def pair_diagnostics(pairs: DataFrame) -> DataFrame:
     Cross-year lags run on one row per (pop, male, year); within-year windows hold the
     records of one bird in one season.
     """
-    P = pairs.select("pop", "year", "female", "male", "row_ord")
+    P = cut_if_deep(pairs).select("pop", "year", "female", "male", "row_ord")
     years = P.select("pop", "year").distinct()
     recs = P.where(F.col("male").isNotNull())
     per_year = recs.groupBy("pop", "male", "year").agg(

@@ -16,6 +16,7 @@ from broodline.functions.clean import (
     FEMALE_UNKNOWN_PAIRING, MALE_UNKNOWN_PAIRING, SPECIES, clutch_order, date_observed_columns,
     experiment_flag, recode_experiment,
 )
+from broodline.session import cut_if_deep, materialize
 from broodline.functions.nulls import (
     count_true, join_null_safe, keep_first, left_plus_missing, n_distinct_na, sole_value,
 )
@@ -252,20 +253,23 @@ def drop_unorderable(pairs: DataFrame, focal: str = "male") -> DataFrame:
     Anti-join on the ID only; rows with an unknown focal bird are kept.
     """
     flag = {"male": "no_order_m", "female": "no_order_f"}[focal]
+    pairs = cut_if_deep(pairs)
     bad = pairs.where(F.col(flag) == "yes").select(focal).distinct()
     return pairs.join(bad, on=focal, how="left_anti")
 
 
 def pairs_table(brood: DataFrame, capture: DataFrame, mode: str = "literal",
-                species: str = SPECIES, stage=None) -> DataFrame:
+                species: str = SPECIES, stage=materialize) -> DataFrame:
     """Brood + capture tables -> ordered pair rows with all flags (before the filter).
 
-    ``stage`` (e.g. ``broodline.session.materialize``) is applied at the natural stage
-    boundaries (clean pairs, joined pairs); each later step reads its input several times
-    (aggregate + join back), so cutting there keeps plans small and lets a lost executor
-    recompute from the stage output instead of from the raw scan.
+    ``stage`` (default: reliable checkpoint into ``spark.checkpoint.dir``) is applied at
+    the natural stage boundaries (clean pairs, joined pairs); each later step reads its
+    input several times (aggregate + join back), so cutting there keeps plans small and
+    lets a lost executor recompute from the stage output instead of from the raw scan.
+    Pass ``stage=None`` for a single lazy plan.
     """
     stage = stage or (lambda d: d)
+    brood, capture = cut_if_deep(brood), cut_if_deep(capture)
     ref = pairing_brood(brood, species)
     cp = stage(clean_pairs(ref))
     first = first_season(cp, ref, mode)

@@ -25,9 +25,20 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(SQL)
 
 
+# physical operators that must never appear: all-pairs joins and Python on the data path
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+             "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
+    plan = plan_text(sdf)
+    assert not [op for op in FORBIDDEN if op in plan], plan
     res = con.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
