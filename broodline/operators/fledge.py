@@ -1,9 +1,9 @@
 """Fledging-success index per population and season.
 
 The reference broadcasts every group quantity back to all nest rows and de-duplicates at
-the end; here each quantity is a two-level ``groupBy`` (rows -> (pop, season, bird or
-nest) -> (pop, season)), so the data shrinks to one row per population-season in the
-first shuffle. Everything after that works on that small table; its windows are
+the end; here all quantities come from one GROUPING SETS aggregation (rows -> (pop, season,
+female | nest | -)) and one (pop, season) aggregation, so the data shrinks to one row per
+population-season after two shuffles. Everything after that works on that small table; its windows are
 partitioned by population and hold one row per season.
 """
 
@@ -41,49 +41,59 @@ def fledge_input(brood: DataFrame, species: str = SPECIES) -> DataFrame:
         .drop("ExperimentID")
 
 
-def _row_weighted_mean(df: DataFrame, unit: str, valid) -> DataFrame:
-    """Mean over rows of each row's unit total (unit = female or nest): a unit with k
-    rows counts k times; units whose total is NULL (or not ``valid``) are skipped."""
-    per_unit = df.groupBy(*PS, unit).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("NumberFledged").alias("_tot"))
-    ok = F.col("_tot").isNotNull() & valid
-    return per_unit.groupBy(*PS).agg(
-        safe_div(F.sum(F.when(ok, F.col("_n") * F.col("_tot"))).cast("double"),
-                 F.sum(F.when(ok, F.col("_n")))).alias(f"_avg_{unit}"))
-
-
 def fledge_metrics(inp: DataFrame, literal_prop_second: bool = True) -> DataFrame:
     """Per (PopID, season): clutches, clutch-type averages, female- and nest-based
     fledgling averages and their ratio; per population the mean ratio (2 dp).
 
-    ``prop_second_clutch`` = distinct locations of second clutches / clutches. With
-    ``literal_prop_second`` (reference parity) the distinct count gains 1 when any row has
-    an unknown clutch type or a second clutch has an unknown location (R subsetting by
-    an NA condition yields an NA element, which ``n_distinct`` counts).
+    ``fledge_fem_avg`` / ``fledge_nest_avg`` are row-weighted means of per-female /
+    per-nest totals (a unit with k rows counts k times; units whose total is NULL, and
+    sentinel or unknown females, are skipped). ``prop_second_clutch`` = distinct locations
+    of second clutches / clutches; with ``literal_prop_second`` (reference parity) the
+    distinct count gains 1 when any row has an unknown clutch type or a second clutch has
+    an unknown location (R subsetting by an NA condition yields an NA element, which
+    ``n_distinct`` counts).
+
+    One pass: ``GROUPING SETS`` computes the per-female, per-nest and per-season partial
+    results in a single shuffle; every distinct count is then a count of non-null groups
+    in the second, (pop, season)-level aggregation.
     """
-    ct, nf, loc = F.col("ClutchType_calculated"), F.col("NumberFledged"), F.col("LocationID")
-    second_locs = F.count_distinct(F.when(ct == "second", loc))
+    ct, nf, loc, fem = (F.col(c) for c in ("ClutchType_calculated", "NumberFledged",
+                                            "LocationID", "FemaleID"))
+    first, second = ct == "first", ct.isin("second", "replacement")
+    lvl = inp.groupingSets(
+        [PS + ["FemaleID"], PS + ["LocationID"], PS], *PS, "FemaleID", "LocationID").agg(
+        F.grouping_id().alias("_gid"),
+        F.count(F.lit(1)).alias("_n"), F.sum(nf).alias("_tot"),
+        F.sum(F.when(first, nf)).alias("_s1"), F.count(F.when(first, nf)).alias("_c1"),
+        F.sum(F.when(second, nf)).alias("_s2"), F.count(F.when(second, nf)).alias("_c2"),
+        F.max(ct == "second").alias("_has_second"),
+        F.max(ct.isNull() | ((ct == "second") & loc.isNull())).alias("_na_elem"))
+    # grouping_id bits (FemaleID, LocationID): 1 = female level, 2 = nest level, 3 = season
+    g_f, g_l, g_s = (F.col("_gid") == 1), (F.col("_gid") == 2), (F.col("_gid") == 3)
+    f_ok = g_f & F.col("_tot").isNotNull() & fem.isNotNull() & \
+        ~fem.isin(list(FEMALE_NO_TOTAL_FLEDGE))
+    l_ok = g_l & F.col("_tot").isNotNull()
+    second_locs = F.count(F.when(g_l & loc.isNotNull() & F.col("_has_second"), 1))
     if literal_prop_second:
-        second_locs = second_locs + F.max(
-            F.when(ct.isNull() | ((ct == "second") & loc.isNull()), 1).otherwise(0))
-    base = inp.groupBy(*PS).agg(
-        F.count(F.lit(1)).alias("clutches"),
-        F.avg(F.when(ct == "first", nf)).alias("_first"),
-        F.avg(F.when(ct.isin("second", "replacement"), nf)).alias("_second"),
+        second_locs = second_locs + F.max(F.when(g_s & F.col("_na_elem"), 1).otherwise(0))
+    m = lvl.groupBy(*PS).agg(
+        F.max(F.when(g_s, F.col("_n"))).alias("clutches"),
         second_locs.alias("_second_locs"),
-        F.count_distinct("FemaleID").alias("females"),
-        F.count_distinct("LocationID").alias("nests"))
-    f = F.col("FemaleID")
-    fem = _row_weighted_mean(
-        inp, "FemaleID", f.isNotNull() & ~f.isin(list(FEMALE_NO_TOTAL_FLEDGE)))
-    nest = _row_weighted_mean(inp, "LocationID", F.lit(True))
-    m = base.join(fem, PS, "left").join(nest, PS, "left")
+        safe_div(F.max(F.when(g_s, F.col("_s1"))).cast("double"),
+                 F.max(F.when(g_s, F.col("_c1")))).alias("_first"),
+        safe_div(F.max(F.when(g_s, F.col("_s2"))).cast("double"),
+                 F.max(F.when(g_s, F.col("_c2")))).alias("_second"),
+        F.count(F.when(g_f & fem.isNotNull(), 1)).alias("females"),
+        safe_div(F.sum(F.when(f_ok, F.col("_n") * F.col("_tot"))).cast("double"),
+                 F.sum(F.when(f_ok, F.col("_n")))).alias("fledge_fem_avg"),
+        F.count(F.when(g_l & loc.isNotNull(), 1)).alias("nests"),
+        safe_div(F.sum(F.when(l_ok, F.col("_n") * F.col("_tot"))).cast("double"),
+                 F.sum(F.when(l_ok, F.col("_n")))).alias("fledge_nest_avg"))
     m = m.select(
         *PS, "clutches",
         (F.col("_second_locs") / F.col("clutches")).alias("prop_second_clutch"),
         (F.coalesce("_first", F.lit(0.0)) + F.coalesce("_second", F.lit(0.0))).alias("avg_sum_clutch"),
-        "females", F.col("_avg_FemaleID").alias("fledge_fem_avg"),
-        "nests", F.col("_avg_LocationID").alias("fledge_nest_avg"))
+        "females", "fledge_fem_avg", "nests", "fledge_nest_avg")
     m = m.withColumns({
         "fem_clutch_ratio": F.col("females") / F.col("clutches"),
         "fledge_ratio": safe_div("fledge_fem_avg", "fledge_nest_avg"),

@@ -130,11 +130,12 @@ def q_pair_diagnostics(spark, d):
 
 # ---------------------------------------------------------------- records (P4, P5)
 def _records(spark, d):
-    return breeding.breeding_records(brood_view(spark, d))
+    """The breeding-record table (product P4, written to disk by the reference as well)."""
+    return materialize(breeding.breeding_records(brood_view(spark, d)))
 
 
 def q_breeding_records(spark, d):
-    return _records(spark, d)
+    return breeding.breeding_records(brood_view(spark, d))
 
 
 def q_partner_fidelity(spark, d):
@@ -151,15 +152,16 @@ def q_capture_records(spark, d):
 
 # ---------------------------------------------------------------- fledge index (P6)
 def _metrics(spark, d):
-    return fledge.fledge_metrics(fledge.fledge_input(brood_view(spark, d)))
+    # one row per (population, season): small at any scale, read several times downstream
+    return materialize(fledge.fledge_metrics(fledge.fledge_input(brood_view(spark, d))))
 
 
 def _adjusted(spark, d):
-    return fledge.adjust_by_regression(_metrics(spark, d))
+    return materialize(fledge.adjust_by_regression(_metrics(spark, d)))
 
 
 def q_fledge_metrics(spark, d):
-    return round_doubles(_metrics(spark, d))
+    return round_doubles(fledge.fledge_metrics(fledge.fledge_input(brood_view(spark, d))))
 
 
 def q_fledge_adjusted(spark, d):
