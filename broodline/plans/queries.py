@@ -83,17 +83,19 @@ def q_experiment_summary(spark, d):
     return pairs.experiment_summary(_ordered_pairs(spark, d))
 
 
-def final_pairs_tie(spark, d, mode="literal"):
-    """The pair table (product P1); the reference writes it to disk here as well."""
-    return materialize(pairs.final_pairs(_ordered_pairs(spark, d, mode), keep_tie=True))
+def final_pairs_tie(spark, d, mode="literal", cut=True):
+    """The pair table (product P1); the reference writes it to disk here as well.
+    ``cut=False`` for consumers that read it once."""
+    fp = pairs.final_pairs(_ordered_pairs(spark, d, mode), keep_tie=True)
+    return materialize(fp) if cut else fp
 
 
 def q_final_pairs(spark, d):
-    return final_pairs_tie(spark, d).select(*FINAL10)
+    return final_pairs_tie(spark, d, cut=False).select(*FINAL10)
 
 
 def q_final_pairs_both_sexes(spark, d):
-    return final_pairs_tie(spark, d, "both_sexes").select(*FINAL10)
+    return final_pairs_tie(spark, d, "both_sexes", cut=False).select(*FINAL10)
 
 
 def q_drop_unorderable_males(spark, d):
@@ -216,7 +218,7 @@ def q_nests_females_per_year(spark, d):
 # ---------------------------------------------------------------- overview (P8)
 def _lookups(spark, d):
     b = brood_view(spark, d)
-    return b, populations_view(b), done_view(final_pairs_tie(spark, d))
+    return b, populations_view(b), done_view(final_pairs_tie(spark, d, cut=False))
 
 
 def q_population_overview(spark, d):
