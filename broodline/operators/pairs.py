@@ -263,8 +263,9 @@ def pairs_table(brood: DataFrame, capture: DataFrame, mode: str = "literal",
     """Brood + capture tables -> ordered pair rows with all flags (before the filter).
 
     ``stage`` (default: reliable checkpoint into ``spark.checkpoint.dir``) is applied at
-    the natural stage boundaries (clean pairs, joined pairs); each later step reads its
-    input several times (aggregate + join back), so cutting there keeps plans small and
+    the natural stage boundaries (clean pairs, enriched captures, joined pairs); each later
+    step reads its input several times (aggregate + join back), so cutting there keeps plans
+    small and
     lets a lost executor recompute from the stage output instead of from the raw scan.
     Pass ``stage=None`` for a single lazy plan.
     """
@@ -273,5 +274,5 @@ def pairs_table(brood: DataFrame, capture: DataFrame, mode: str = "literal",
     ref = pairing_brood(brood, species)
     cp = stage(clean_pairs(ref))
     first = first_season(cp, ref, mode)
-    caps = capture_enrichment(capture, first, species)
+    caps = stage(capture_enrichment(capture, first, species))
     return pair_order(stage(build_pairs(cp, caps)))

@@ -69,9 +69,10 @@ def q_capture_enrichment(spark, d):
 
 
 def _ordered_pairs(spark, d, mode="literal"):
-    # the chain reads each input several times (aggregate + join back); the adapter views
-    # are derived tables, so they are written once, like the stored tables they stand for
-    return pairs.pairs_table(materialize(brood_view(spark, d)), materialize(capture_view(spark, d)),
+    # the chain reads the brood input several times (aggregate + join back); the adapter
+    # view is a derived table, so it is written once, like the stored table it stands for
+    # (the capture side is cut after enrichment, where it is already small)
+    return pairs.pairs_table(materialize(brood_view(spark, d)), capture_view(spark, d),
                              mode=mode, stage=materialize)
 
 
