@@ -111,3 +111,19 @@ def left_plus_missing(left: DataFrame, right: DataFrame, left_keys: Sequence[str
     lkeys = left.select(*left_keys).distinct()
     missing = r.join(lkeys, on=list(left_keys), how="left_anti")
     return matched.unionByName(missing, allowMissingColumns=True)
+
+
+# rows up to which a small side may be broadcast explicitly
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking its size; above ``max_rows`` return it as is
+    (the join then stays a shuffle join that AQE can split on a hot key).
+
+    For sides that are small by construction but derived from growing data (e.g. the
+    observed years of each population): the check costs one job over an already
+    reduced table, and the broadcast no longer depends on AQE being enabled.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

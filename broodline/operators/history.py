@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broodline.functions.nulls import first_last_by
+from broodline.functions.nulls import broadcast_if_bounded, first_last_by
 from broodline.session import cut_if_deep
 
 ROLES = {
@@ -56,8 +56,9 @@ def event_codes(pairs: DataFrame, focal: str = "female",
     order = _record_order(focal)
     P = cut_if_deep(pairs).select("pop", "year", focal, partner, pair_num, "order", "source_rank", "row_ord")
 
-    # observed years of each population (any row, also rows of unknown focal birds)
-    years = P.select("pop", "year").distinct()
+    # observed years of each population (any row, also rows of unknown focal birds);
+    # populations x years is small, so the bird x year grid join broadcasts it (size-checked)
+    years = broadcast_if_bounded(P.select("pop", "year").distinct())
     recs = P.where(F.col(focal).isNotNull())
     per_year = recs.groupBy("pop", focal, "year").agg(
         *first_last_by(partner, order, "_first", "_last"),
@@ -140,7 +141,7 @@ def pair_diagnostics(pairs: DataFrame) -> DataFrame:
     records of one bird in one season.
     """
     P = cut_if_deep(pairs).select("pop", "year", "female", "male", "row_ord")
-    years = P.select("pop", "year").distinct()
+    years = broadcast_if_bounded(P.select("pop", "year").distinct())
     recs = P.where(F.col("male").isNotNull())
     per_year = recs.groupBy("pop", "male", "year").agg(
         F.max_by("female", "row_ord").alias("_last_f"), F.count(F.lit(1)).alias("_n"))
