@@ -38,9 +38,17 @@ def get_spark(master: str | None = None, app: str = "broodline",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a scratch one only when it is unset (tests)."""
+    """Return the shared ``spark.checkpoint.dir`` of the session.
+
+    When it is unset, a scratch folder is created only for a local master (tests, local
+    runs); on a cluster a machine-local folder would not survive executor loss, so the
+    setting is required there.
+    """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store); "
+                               "stage checkpoints of the pair chain are written there")
         cur = tempfile.mkdtemp(prefix="broodline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)
