@@ -101,9 +101,11 @@ def event_codes(pairs: DataFrame, focal: str = "female",
     return g.select("pop", focal, "year", "multi_partner", code.alias("event_code"))
 
 
-def observed_years(codes: DataFrame) -> list[int]:
-    """Sorted distinct years (calendar-bounded, a few hundred at most) for pivot columns."""
-    return sorted(r[0] for r in codes.select("year").distinct().collect())
+def observed_years(df: DataFrame) -> list[int]:
+    """Sorted distinct ``year`` values (calendar-bounded, a few hundred at most) for pivot
+    columns. Event codes cover exactly the observed years of the pair rows they were built
+    from, so passing those pair rows avoids evaluating the codes twice."""
+    return sorted(r[0] for r in df.select("year").distinct().collect())
 
 
 def wide_history(codes: DataFrame, focal: str = "female",

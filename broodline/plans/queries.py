@@ -105,26 +105,34 @@ def q_drop_unorderable_males(spark, d):
 
 # ---------------------------------------------------------------- histories (P2, P3)
 def _codes(spark, d, focal):
+    """(event codes, the pair rows they were built from)."""
     fp = final_pairs_tie(spark, d)
     if focal == "male":
         fp = pairs.drop_unorderable(fp, "male")
-    return history.event_codes(fp, focal)
+    return history.event_codes(fp, focal), fp
 
 
 def q_event_codes_female(spark, d):
-    return _codes(spark, d, "female")
+    return _codes(spark, d, "female")[0]
 
 
 def q_event_codes_male(spark, d):
-    return _codes(spark, d, "male")
+    return _codes(spark, d, "male")[0]
+
+
+def _wide(spark, d, focal):
+    codes, fp = _codes(spark, d, focal)
+    # the codes cover exactly the observed years of their pair rows: take the pivot
+    # columns from that (checkpointed) table instead of running the codes twice
+    return history.wide_history(codes, focal, years=history.observed_years(fp))
 
 
 def q_wide_history_female(spark, d):
-    return history.wide_history(_codes(spark, d, "female"), "female")
+    return _wide(spark, d, "female")
 
 
 def q_wide_history_male(spark, d):
-    return history.wide_history(_codes(spark, d, "male"), "male")
+    return _wide(spark, d, "male")
 
 
 def q_pair_diagnostics(spark, d):

@@ -1,4 +1,4 @@
-from broodline.sources.tables import read_table, table_path  # noqa: F401
+from broodline.sources.tables import read_table, table_path, with_row_ord  # noqa: F401
 from broodline.sources.adapters import (  # noqa: F401
     brood_view, capture_view, populations_view, done_view, BROOD_VIEW_SQL, CAPTURE_VIEW_SQL,
 )

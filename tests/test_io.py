@@ -36,3 +36,14 @@ def test_round_trip_and_partitioned_export(spark):
     write_csv_r(df, os.path.join(out, "by_pop"), partition_by="pop")
     assert sorted(os.listdir(os.path.join(out, "by_pop")))[:2] == ["_SUCCESS", "pop=A"] or \
         {"pop=A", "pop=B"} <= set(os.listdir(os.path.join(out, "by_pop")))
+
+
+def test_with_row_ord_follows_file_order(spark):
+    from pyspark.sql import types as T
+
+    from broodline.sources.tables import with_row_ord
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    p = _write("id\n" + "\n".join(f"r{i}" for i in range(50)) + "\n")
+    df = with_row_ord(read_csv_r(spark, p, schema, "readr"))
+    got = [r.id for r in df.orderBy("row_ord").collect()]
+    assert got == [f"r{i}" for i in range(50)]
