@@ -30,9 +30,9 @@ def write_products(brood: DataFrame, capture: DataFrame, out_dir: str,
     """Compute and write all products; returns product name -> output folder."""
     out = {}
 
-    def put(name, df, partition_by=None):
+    def put(name, df, partition_by=None, row_names_by=None):
         path = os.path.join(out_dir, name)
-        write_csv_r(df, path, partition_by=partition_by)
+        write_csv_r(df, path, partition_by=partition_by, row_names_by=row_names_by)
         out[name] = path
 
     # P1: pair table, computed once and read by both histories
@@ -48,10 +48,13 @@ def write_products(brood: DataFrame, capture: DataFrame, out_dir: str,
             partition_by="pop")
     # P4: breeding records and the re-pairing rates behind the reference's chart
     records = materialize(breeding.breeding_records(brood))
-    put("breeding_records", records)
+    # sorted as the reference's file, with its row-number column
+    put("breeding_records", records, row_names_by=["PopID", "BreedingSeason", "FemaleID",
+                                                   "LayDate_observed", "row_ord"])
     put("repair_rate", breeding.repair_rate(breeding.partner_fidelity(records)))
     # P5: capture records
-    put("capture_records", captures.capture_records(capture))
+    put("capture_records", captures.capture_records(capture),
+        row_names_by=["CapturePopID", "IndvID", "BreedingSeason"])
     # P6: fledging-success index (4 columns, as the reference's file)
     adj = materialize(fledge.adjust_by_regression(
         materialize(fledge.fledge_metrics(fledge.fledge_input(brood)))))

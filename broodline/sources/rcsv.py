@@ -8,7 +8,9 @@ cell becomes NULL instead of failing the job (ANSI mode).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +38,41 @@ def read_csv_r(spark: SparkSession, path: str, schema: T.StructType,
     return df.select(*out)
 
 
+def with_row_number(df: DataFrame, order: Sequence, name: str = "row") -> DataFrame:
+    """Sort by ``order`` (ascending, NULL last; end it with a unique key) and number the
+    rows 1..n consecutively, like the row names base R writes after ``arrange``.
+
+    No single-partition window over the data: the range-partitioned sort tags each row
+    with its partition id and its position in the partition (``monotonically_increasing_id``
+    right after the sort), the tagged rows are checkpointed so the ids are fixed, and a
+    prefix sum over the per-partition counts (one row per partition, a bounded table,
+    hence the broadcast) gives each partition its offset. The result keeps the sorted
+    partition order, so writing it yields files in row-number order.
+    """
+    from broodline.session import materialize
+    keys = [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in order]
+    tagged = materialize(df.orderBy(*keys).withColumns(
+        {"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("_off"))
+    j = tagged.join(F.broadcast(offsets), "_pid")
+    rn = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)) + 1
+    return j.select(rn.alias(name), *df.columns)
+
+
 def write_csv_r(df: DataFrame, path: str, partition_by: str | None = None,
-                mode: str = "overwrite") -> None:
-    """``write_csv`` / ``write.csv(row.names = FALSE)``: header, NULL written as ``NA``.
+                mode: str = "overwrite", row_names_by: Sequence | None = None) -> None:
+    """``write_csv`` / ``write.csv``: header, NULL written as ``NA``.
 
     ``partition_by`` gives one folder per value (the per-population files of the
     reference) from a single distributed write instead of a driver loop.
+    ``row_names_by``: sort by these columns and add the 1..n ``row`` column that
+    ``write.csv`` writes by default (``with_row_number``).
     """
+    if row_names_by:
+        df = with_row_number(df, row_names_by)
     w = df.write.mode(mode).option("header", True).option("nullValue", "NA") \
         .option("emptyValue", "")
     if partition_by:

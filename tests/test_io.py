@@ -47,3 +47,21 @@ def test_with_row_ord_follows_file_order(spark):
     df = with_row_ord(read_csv_r(spark, p, schema, "readr"))
     got = [r.id for r in df.orderBy("row_ord").collect()]
     assert got == [f"r{i}" for i in range(50)]
+
+
+def test_row_number_consecutive_and_sorted(spark):
+    from pyspark.sql import functions as F
+
+    from broodline.sources.rcsv import with_row_number
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        df = spark.range(0, 2000).select(((F.col("id") * 7919) % 2000).alias("k"),
+                                         F.when(F.col("id") % 9 == 0, None)
+                                         .otherwise(F.col("id") % 13).alias("g"))
+        out = with_row_number(df, ["g", "k"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.row for r in out] == list(range(1, 2001))       # consecutive, in file order
+    keys = [(r.g is None, r.g if r.g is not None else 0, r.k) for r in out]
+    assert keys == sorted(keys)                                # NULL last, then k
