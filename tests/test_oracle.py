@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from oracle_check import duck, rows_of  # noqa: E402
+from oracle_check import duck, rows_of, type_mismatches  # noqa: E402
 
 from .conftest import SF_SMALL
 
@@ -42,6 +42,7 @@ def test_query_matches_oracle(spark, con, name):
     res = con.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
+    assert type_mismatches(sdf, con, SQL[name]) == []
     srows = sorted(rows_of(sdf.columns, [tuple(r) for r in sdf.collect()]))
     drows = sorted(rows_of(dcols, res.fetchall()))
     assert len(srows) == len(drows)
