@@ -217,6 +217,7 @@ fpm AS (select * from final f where not exists (
 """
 _F_CODES = _PAIRS + _codes_chain("final", "female", "_f")
 _M_CODES = _PAIRS + _MALE_SRC + _codes_chain("fpm", "male", "_m")
+_M_CODES_ANY = _PAIRS + _MALE_SRC + _codes_chain("fpm", "male", "_m", require_known=False)
 
 _CLEAN_COLS = ("row_ord, PopID, BreedingSeason, LocationID, FemaleID, MaleID, Brood_exp, "
                "LayDate_observed, ClutchType_calculated, Num_male_partners, MaleID_known, "
@@ -268,6 +269,8 @@ from po group by PopID""",
         "select pop, female, year, multi_partner, event_code from codes_f where rn = 1",
     "event_codes_male": _with(_M_CODES) +
         "select pop, male, year, multi_partner, event_code from codes_m where rn = 1",
+    "event_codes_male_any_partner": _with(_M_CODES_ANY) +
+        "select pop, male, year, multi_partner, event_code from codes_m where rn = 1",
     "wide_history_female": _with(_F_CODES) + _wide("female", "codes_f"),
     "wide_history_male": _with(_M_CODES) + _wide("male", "codes_m"),
 }
@@ -317,7 +320,10 @@ rep AS (
 ),
 """
 
-FLEDGE_CTES = f"""
+_NA_ELEM_TERM = """+ max(case when ClutchType_calculated is null
+                  or (ClutchType_calculated = 'second' and LocationID is null) then 1 else 0 end) over ps"""
+
+FLEDGE_CTES_T = f"""
 brood AS ({BROOD_VIEW_SQL}),
 fin AS (
   select Species, PopID, BreedingSeason, LocationID, FemaleID, MaleID, ClutchType_calculated,
@@ -330,8 +336,7 @@ fm0 AS (
     avg(case when ClutchType_calculated in ('second','replacement') then NumberFledged end) over ps
       as second_clutch_avg,
     count(distinct case when ClutchType_calculated = 'second' then LocationID end) over ps
-      + max(case when ClutchType_calculated is null
-                  or (ClutchType_calculated = 'second' and LocationID is null) then 1 else 0 end) over ps
+      {{_NA_ELEM}}
       as second_n,
     count(*) over ps as clutches_,
     case when FemaleID is not null and FemaleID not in ('0','1','1e+06')
@@ -397,6 +402,8 @@ std AS (
   from adj window p as (partition by PopID)
 ),
 """
+FLEDGE_CTES = FLEDGE_CTES_T.replace("{_NA_ELEM}", _NA_ELEM_TERM)
+FLEDGE_CTES_NO_NA = FLEDGE_CTES_T.replace("{_NA_ELEM}", "")
 
 
 def _change(src: str) -> str:
@@ -428,6 +435,7 @@ select CapturePopID, IndvID, BreedingSeason, Age_calculated, Experiment from (
 where rn = 1 and CapturePopID is not null and IndvID is not null and BreedingSeason is not null
   and Age_calculated is not null""",
     "fledge_metrics": _with(FLEDGE_CTES) + f"select {_r6(*_METRIC_COLS)} from metrics",
+    "fledge_metrics_ignore_na": _with(FLEDGE_CTES_NO_NA) + f"select {_r6(*_METRIC_COLS)} from metrics",
     "fledge_adjusted": _with(FLEDGE_CTES) +
         f"select {_r6(*_METRIC_COLS, 'prop_NA', 'fledge_ratio_pred', 'fledge_nest_avg_adj')} from adj",
     "fledge_line_by_group": _with(FLEDGE_CTES) + """

@@ -104,12 +104,12 @@ def q_drop_unorderable_males(spark, d):
 
 
 # ---------------------------------------------------------------- histories (P2, P3)
-def _codes(spark, d, focal):
+def _codes(spark, d, focal, require_known_partner=True):
     """(event codes, the pair rows they were built from)."""
     fp = final_pairs_tie(spark, d)
     if focal == "male":
         fp = pairs.drop_unorderable(fp, "male")
-    return history.event_codes(fp, focal), fp
+    return history.event_codes(fp, focal, require_known_partner), fp
 
 
 def q_event_codes_female(spark, d):
@@ -120,6 +120,11 @@ def q_event_codes_male(spark, d):
     return _codes(spark, d, "male")[0]
 
 
+def q_event_codes_male_any_partner(spark, d):
+    """Code 6 without the known-partner clause (the rule the shipped male golden follows)."""
+    return _codes(spark, d, "male", require_known_partner=False)[0]
+
+
 def _wide(spark, d, focal):
     codes, fp = _codes(spark, d, focal)
     # the codes cover exactly the observed years of their pair rows: take the pivot
@@ -175,6 +180,12 @@ def q_fledge_metrics(spark, d):
     return round_doubles(fledge.fledge_metrics(fledge.fledge_input(brood_view(spark, d))))
 
 
+def q_fledge_metrics_ignore_na(spark, d):
+    """``prop_second_clutch`` without the NA element R's subsetting adds."""
+    return round_doubles(fledge.fledge_metrics(fledge.fledge_input(brood_view(spark, d)),
+                                               literal_prop_second=False))
+
+
 def q_fledge_adjusted(spark, d):
     return round_doubles(_adjusted(spark, d))
 
@@ -255,6 +266,7 @@ QUERIES: dict[str, Query] = {
     "drop_unorderable_males": q_drop_unorderable_males,
     "event_codes_female": q_event_codes_female,
     "event_codes_male": q_event_codes_male,
+    "event_codes_male_any_partner": q_event_codes_male_any_partner,
     "wide_history_female": q_wide_history_female,
     "wide_history_male": q_wide_history_male,
     "pair_diagnostics": q_pair_diagnostics,
@@ -263,6 +275,7 @@ QUERIES: dict[str, Query] = {
     "repair_rate": q_repair_rate,
     "capture_records": q_capture_records,
     "fledge_metrics": q_fledge_metrics,
+    "fledge_metrics_ignore_na": q_fledge_metrics_ignore_na,
     "fledge_adjusted": q_fledge_adjusted,
     "fledge_line_by_group": q_fledge_line_by_group,
     "metric_agreement": q_metric_agreement,
