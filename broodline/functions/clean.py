@@ -6,7 +6,6 @@ named constant so an operator states which rule it follows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
