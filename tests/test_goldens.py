@@ -73,3 +73,16 @@ def test_male_golden_without_known_partner_clause(spark):
 def test_multi_partner_zero(spark, focal):
     codes = event_codes(mock_pairs(spark), focal)
     assert {r.multi_partner for r in codes.collect()} == {0}
+
+
+def test_per_population_export(spark):
+    import os
+    import tempfile
+
+    from broodline.operators.history import write_histories_per_population
+    out = os.path.join(tempfile.mkdtemp(prefix="broodline-hist-"), "f")
+    write_histories_per_population(event_codes(mock_pairs(spark), "female"), out)
+    assert "pop=HOG" in os.listdir(out)
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == 8 * 4 and set(back.columns) == {"female", "year", "multi_partner",
+                                                             "event_code", "pop"}
