@@ -1,70 +1,92 @@
-"""Session construction and cluster-safe materialisation helpers."""
+"""Session construction and cluster-safe staging helpers."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: What the library wants of a session; a value given to spark-submit wins.
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
 
 def get_spark(master: str | None = None, app: str = "broodline",
-              shuffle_partitions: int | None = None) -> SparkSession:
-    """A session tuned for these jobs (AQE on, UTC, no UI).
+              shuffle_partitions: int | None = None,
+              driver_memory: str | None = None) -> SparkSession:
+    """A session for these jobs.
 
-    On a cluster the master and memory come from spark-submit; only the SQL
-    settings below are applied. ``shuffle_partitions`` defaults to 2x cores locally.
+    Master, memory and shuffle partitions belong to spark-submit: they are set only when
+    the caller names them. ``DEFAULTS`` are set only where spark-submit left them open.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or os.environ.get("SPARK_MASTER", f"local[{cpus}]")
-    parts = shuffle_partitions or max(8, 2 * int(cpus))
-    spark = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.localShuffleReader.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-        .getOrCreate()
-    )
+    SparkContext._ensure_initialized()  # so that SparkConf sees the submitted settings
+    given = SparkConf()
+    conf = {k: v for k, v in DEFAULTS.items() if not given.contains(k)}
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory:
+        conf["spark.driver.memory"] = driver_memory
+    builder = SparkSession.builder.config(map=conf)
+    if master:
+        builder = builder.master(master)
+    if not given.contains("spark.app.name") or given.get("spark.app.name") == "pyspark-shell":
+        builder = builder.appName(app)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared ``spark.checkpoint.dir`` of the session.
+    """Return the shared checkpoint folder of the session.
 
-    When it is unset, a scratch folder is created only for a local master (tests, local
-    runs); on a cluster a machine-local folder would not survive executor loss, so the
-    setting is required there.
+    The folder the session names (``spark.checkpoint.dir``, or one set on the context) is
+    used as it is. Only where neither is set, and only for a ``local`` master, a scratch
+    folder is made; on a cluster a machine-local folder would not survive executor loss,
+    so the setting is required there.
     """
-    cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store); "
-                               "stage checkpoints of the pair chain are written there")
-        cur = tempfile.mkdtemp(prefix="broodline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
-    return cur
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        sc.setCheckpointDir(named)
+        return named
+    if current := sc.getCheckpointDir():
+        return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store); "
+                           "staged tables are written there")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="broodline-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
-    Used where one expensive intermediate feeds several consumers (final pairs
-    feed both sexes' histories). Survives executor loss, unlike a local checkpoint.
+    For small row sets that are read once or twice in full, as in an iteration. Survives
+    executor loss, unlike a local checkpoint.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+
+    For wide or large intermediates with several readers: each reader scans only the
+    columns it uses and its filters reach the scan, which a checkpoint of serialised rows
+    cannot offer. The schema is passed on, so the read infers nothing.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # analyzed-plan size (tree lines) above which a self-joining operator cuts its input first
 MAX_PLAN_LINES = 250
 
