@@ -18,10 +18,11 @@ What happens to a candidate pair is exact: links are confirmed on the full sets.
 2. In each bucket of a table the class that meets the most others is the centre; every
    member is compared with the centre only, which costs a row for each member. The base
    text of a group of copies is the centre of most of its buckets.
-3. Buckets whose members are still in several components are compared in full, in square
-   blocks of bounded size inside tasks; a block gives only pairs of different components
-   whose MinHash values agree often enough (fewer than 14 of 32 agreements has a chance
-   below one in a million at similarity 0.8).
+3. Members of buckets that are still in several components are compared with each other,
+   under every half key of the first collection that they share, in square blocks of
+   bounded size inside tasks. A block compares pairs of different components: first by
+   their MinHash values (fewer than 14 of 32 agreements has a chance below one in a million
+   at similarity 0.8), then by their sets. Only links leave the task, never pairs.
 
 Defined results: a null text counts as empty; a text without words has an empty set, is
 linked with nothing and is its own component. Letters A-Z are lower-cased; words are
@@ -47,7 +48,8 @@ M = 8  # half keys in each collection
 HASHES = 4 * M
 #: Of HASHES values, how many must agree before a pair is compared in full.
 AGREE = 14
-BLOCK = 256  # members of a bucket in one side of a block
+BLOCK = 4096  # documents in one side of a block, in expectation
+ELEMENTS = 2_000_000  # shingles in one side of a block, in expectation
 
 _ADD, _MULTIPLY = seeds(HASHES)[:, None], seeds(HASHES, 1000)[:, None] | U64(1)
 
@@ -144,62 +146,76 @@ def _sizes_allow(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in the blocks of large or split buckets.
+def _links_in_blocks(rest: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the links between different components among ``rest``(id, comp, size, sig,
+    shingles) that agree in a half key of the first collection.
 
-    ``members``(key, n, id, comp, size, sig). A member goes to one block for each other
-    part of its bucket; a block is compared as a matrix, so its pairs exist as rows only if
-    they may be links.
+    The members of a half key are dealt to parts of bounded size, and every two parts meet
+    in one block, which one task compares: by MinHash values as arrays, then exactly by the
+    sets. Only links leave the task. A pair is compared under its first common half key.
     """
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", "key"), parts).cast("int")
-    dealt = (members.withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-             .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-                     "own", "id", "comp", "size", "sig"))
-    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    id_type = members.schema["id"].dataType
-
-    def compare(rows: list) -> tuple[list, list]:
-        ids = np.array([r[4] for r in rows])
-        own = np.array([r[3] for r in rows])
-        comps = np.array([r[5] for r in rows])
-        sizes = np.array([r[6] for r in rows])
-        sigs = np.array([r[7] for r in rows], np.int32)
-        one_part = rows[0][1] == rows[0][2]
+    halves = F.posexplode(_half_keys(0)).alias("i", "x")
+    groups = (rest.select("id", "comp", "size", halves).groupBy("i", "x")
+              .agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+              .where("lo <> hi").select("i", "x", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / ELEMENTS))
+                                        .cast("int").alias("parts")))
+    own = F.pmod(F.xxhash64("id", "i"), F.col("parts")).cast("int")
+    dealt = (rest.select("*", halves).join(groups, ["i", "x"]).withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("i", "x", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                     "own", "id", "comp", "size", "sig", "shingles"))
+    spread = dealt.repartition("i", "x", "lo", "hi").sortWithinPartitions("i", "x", "lo", "hi")
+    id_type = rest.schema["id"].dataType
+
+    def links(group: tuple, rows: list) -> tuple[list, list]:
+        i, _, lo, hi = group
+        own, ids, comps, sizes = (np.array([r[k] for r in rows]) for k in range(4))
+        sigs = np.array([r[4] for r in rows])
+        pairs_of = sigs[:, : 2 * i].reshape(len(rows), -1, 2)
         left, right = [], []
-        for i in range(len(rows)):
-            other = comps != comps[i]
-            other &= np.arange(len(rows)) > i
-            if not one_part:
-                other &= own != own[i]
-            other &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-            at = np.flatnonzero(other)
-            at = at[(sigs[at] == sigs[i]).sum(axis=1) >= AGREE]
-            left += [ids[i].item()] * len(at)
-            right += ids[at].tolist()
+        for k in range(len(rows) - 1):
+            other = comps[k + 1 :] != comps[k]
+            if lo != hi:
+                other &= own[k + 1 :] != own[k]
+            a, b = sizes[k + 1 :], sizes[k]
+            other &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+            at = k + 1 + np.flatnonzero(other)
+            at = at[(sigs[at] == sigs[k]).sum(axis=1) >= AGREE]
+            if i and len(at):  # met under an earlier half key
+                at = at[~(pairs_of[at] == pairs_of[k]).all(axis=2).any(axis=1)]
+            for j in at.tolist():
+                both = len(np.intersect1d(rows[k][5], rows[j][5], assume_unique=True))
+                if 100 * both >= percent * (sizes[k] + sizes[j] - both):
+                    left.append(ids[k].item())
+                    right.append(ids[j].item())
         return left, right
 
     def run(batches):
-        group, held = None, []
-        schema = None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != group:
-                    if len(held) > 1:
-                        u, v = compare(held)
-                        if u:
-                            yield pa.RecordBatch.from_arrays([pa.array(u, schema), pa.array(v, schema)], ["u", "v"])
-                    group, held = row[:3], []
-                    schema = batch.schema.field("id").type
-                held.append(row)
-        if len(held) > 1:
-            u, v = compare(held)
+        group, held, kind = None, [], pa.int64()
+
+        def found():
+            u, v = links(group, held) if len(held) > 1 else ([], [])
             if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, schema), pa.array(v, schema)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], ["u", "v"])
+
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:4])))
+            plain = list(zip(*(c.to_pylist() for c in batch.columns[4:8])))
+            for row, key in enumerate(keys):
+                if key != group:
+                    yield from found()
+                    group, held = key, []
+                held.append((*plain[row], *(c[row].values.to_numpy() for c in batch.columns[8:10])))
+        yield from found()
+
+    return spread.mapInArrow(run, T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)]))
+
 
-    pairs = spread.mapInArrow(run, T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)]))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def _half_keys(start: int) -> F.Column:
+    """The half keys of a collection, from its first value at ``start`` of ``sig`` on."""
+    return F.transform(F.sequence(F.lit(0), F.lit(M - 1)), lambda i: F.xxhash64(
+        F.get("sig", i * 2 + start), F.get("sig", i * 2 + start + 1), i))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -207,10 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = stage(signatures(docs, width))
     classes = stage(signed.where("n_shingles > 0").groupBy("digest")
                     .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")))
-    half = lambda start: F.transform(
-        F.sequence(F.lit(0), F.lit(M - 1)),
-        lambda i: F.xxhash64(F.get("sig", i * 2 + start), F.get("sig", i * 2 + start + 1), i))
-    tables = (classes.select("id", half(0).alias("a"), half(2 * M).alias("b"))
+    tables = (classes.select("id", _half_keys(0).alias("a"), _half_keys(2 * M).alias("b"))
               .select("id", "b", F.posexplode("a").alias("i", "x"))
               .select("id", "i", "x", F.posexplode("b").alias("j", "y"))
               .select("id", F.xxhash64("i", "x", "j", "y").alias("key")))
@@ -233,10 +246,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
               .select("key", "n", "id", F.coalesce("comp", "id").alias("comp")))
     split = (placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo <> hi").select("key"))
-    rest = stage(_block_pairs(placed.join(split, "key").join(known, "id")
-                              .select("key", "n", "id", "comp", "size", "sig"), percent))
-    if not rest.isEmpty():
-        more = materialize(_confirmed(docs, rest, classes, width, percent))
+    open_ids = stage(placed.join(split, "key").select("id", "comp").distinct()
+                     .join(classes, "id").select("id", "comp", "digest", "size", "sig"))
+    if not open_ids.isEmpty():
+        rest = open_ids.join(_sets(docs, open_ids.select("id", "digest"), width), "id")
+        more = materialize(_links_in_blocks(rest.drop("digest"), percent))
         if not more.isEmpty():
             comps = connected_components(links.union(more))
 
