@@ -1,23 +1,71 @@
-"""The registered queries of the corpus operators: ``(spark, sf_dir) -> DataFrame``."""
+"""The registered queries of the corpus operators: ``(spark, sf_dir) -> DataFrame``.
+
+Each applies its operator with production parameters to its whole table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from broodline.llm import bpe, chat, fingerprint, language_id, licenses, minhash, packing, pii, quality, toxicity
 from broodline.llm.common import documents
-from broodline.llm.minhash import near_duplicates
+from broodline.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+    return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    profiles = language_id.train_on_documents(docs)
+    return language_id.identify(docs.select("doc_id", "text"), profiles).select(
+        "doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.spans_table(docs, pii.train(docs))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_successor(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.severity(docs, model).select(
+        "doc_id", "severity", "p_toxic", (F.col("p_toxic") >= toxicity.LIMIT).alias("toxic"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.read_back(chat.format_turns(chat.with_probe(conversations)))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_minhash_near_dedup,
+        op1_minhash_near_dedup, op2_language_id, op3_pii, op4_packing, op5_quality_rules, op6_fingerprint,
+        op7_toxicity, op8_chat_format, op9_license_scan, op10_byte_bpe,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
