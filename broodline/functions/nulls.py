@@ -10,6 +10,8 @@ stays inside whole-stage codegen.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,27 +105,14 @@ def left_plus_missing(left: DataFrame, right: DataFrame, left_keys: Sequence[str
     expressed as ``left LEFT JOIN right`` (AQE can split or broadcast) plus the right rows
     whose key never occurs on the left (anti-join against the *distinct* left keys, which
     were reduced map-side first). Output keys carry the left names; right keys must be
-    non-NULL (callers guarantee it), so NULL-keyed left rows simply find no partner.
+    non-NULL (callers guarantee it), so left rows with a NULL key have no partner: they go
+    round the joins instead of meeting in the partition of the NULL key.
     """
     ren = dict(zip(right_keys, left_keys))
     r = right.withColumnsRenamed(ren)
-    matched = left.join(r, on=list(left_keys), how="left")
-    lkeys = left.select(*left_keys).distinct()
-    missing = r.join(lkeys, on=list(left_keys), how="left_anti")
-    return matched.unionByName(missing, allowMissingColumns=True)
-
-
-# rows up to which a small side may be broadcast explicitly
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; above ``max_rows`` return it as is
-    (the join then stays a shuffle join that AQE can split on a hot key).
-
-    For sides that are small by construction but derived from growing data (e.g. the
-    observed years of each population): the check costs one job over an already
-    reduced table, and the broadcast no longer depends on AQE being enabled.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    known = reduce(and_, (F.col(k).isNotNull() for k in left_keys))
+    keyed = left.where(known)
+    matched = keyed.join(r, on=list(left_keys), how="left")
+    missing = r.join(keyed.select(*left_keys).distinct(), on=list(left_keys), how="left_anti")
+    return matched.unionByName(left.where(~known), allowMissingColumns=True) \
+        .unionByName(missing, allowMissingColumns=True)

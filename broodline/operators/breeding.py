@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from broodline.functions.clean import (
     FEMALE_DROP_BREEDING, MALE_DROP_BREEDING, SPECIES, recode_experiment,
 )
-from broodline.functions.nulls import first_last_by, not_in, safe_div
+from broodline.functions.nulls import first_last_by, join_null_safe, not_in, safe_div
 
 RECORD_COLS = ["PopID", "BreedingSeason", "LocationID", "FemaleID", "MaleID",
                "LayDate_observed", "ClutchType_calculated", "Experiment"]
@@ -44,7 +44,9 @@ def partner_fidelity(records: DataFrame) -> DataFrame:
     previous season. So records are reduced to one row per (pop, female, season) with
     first/last male (partial aggregation), lagged over seasons (at most one row per
     season per bird), and the result joined back to the first record. Records of an
-    unknown female never get a partner status and have ``num_yrs`` 0.
+    unknown female never get a partner status and have ``num_yrs`` 0. An unknown season
+    sorts last, counts as one more season and never has a status; an unknown population
+    is a group of its own.
     """
     order = ["LayDate_observed", "row_ord"]
     known = records.where(F.col("FemaleID").isNotNull())
@@ -52,16 +54,15 @@ def partner_fidelity(records: DataFrame) -> DataFrame:
         *first_last_by("MaleID", order, "_first_m", "_last_m"),
         F.min_by(F.col("row_ord"), F.struct(F.col("LayDate_observed").isNull(),
                                             "LayDate_observed", "row_ord")).alias("_first_ord"))
-    w = Window.partitionBy("PopID", "FemaleID").orderBy("BreedingSeason")
+    w = Window.partitionBy("PopID", "FemaleID").orderBy(F.col("BreedingSeason").asc_nulls_last())
     wa = Window.partitionBy("PopID", "FemaleID")
     prev = F.lag("_last_m").over(w)
-    first_m = F.col("_first_m")
-    status = (F.when(first_m.isNotNull() & (prev == first_m), "same")
-              .when(first_m.isNotNull() & (prev != first_m), "switched"))
+    first_m = F.when(F.col("BreedingSeason").isNotNull(), F.col("_first_m"))
+    status = F.when(prev == first_m, "same").when(prev != first_m, "switched")
     per_season = per_season.select(
         "PopID", "FemaleID", "BreedingSeason", "_first_ord",
         status.alias("_status"), F.count(F.lit(1)).over(wa).cast("bigint").alias("num_yrs"))
-    k = known.join(per_season, ["PopID", "FemaleID", "BreedingSeason"]).withColumn(
+    k = join_null_safe(known, per_season, ["PopID", "FemaleID", "BreedingSeason"], "inner").withColumn(
         "partner", F.when(F.col("row_ord") == F.col("_first_ord"), F.col("_status")))
     u = records.where(F.col("FemaleID").isNull()).withColumns(
         {"num_yrs": F.lit(0).cast("bigint"), "partner": F.lit(None).cast("string")})

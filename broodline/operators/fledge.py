@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from broodline.functions.clean import (
     FEMALE_NO_TOTAL_FLEDGE, SPECIES, coalesce_versions, recode_experiment,
 )
-from broodline.functions.nulls import r_round, safe_div
+from broodline.functions.nulls import join_null_safe, n_distinct_na, r_round, safe_div
 from broodline.operators.stats import ols_by_group, predict_by_group, spearman_by_group, \
     weighted_mean, zscore
 
@@ -125,11 +125,12 @@ def fledge_line_by_group(m: DataFrame) -> DataFrame:
 
 def metric_agreement(adj: DataFrame) -> DataFrame:
     """Per population: Spearman correlation (2 dp) of female- vs adjusted nest-based
-    averages over seasons with both, and the number of such seasons."""
+    averages over seasons with both, and the number of such seasons (an unknown season
+    counts as one)."""
     c = adj.where(F.col("fledge_fem_avg").isNotNull() & F.col("fledge_nest_avg_adj").isNotNull())
     cor = spearman_by_group(c, ["PopID"], "fledge_fem_avg", "fledge_nest_avg_adj")
-    cnt = c.groupBy("PopID").agg(F.count_distinct("BreedingSeason").alias("count"))
-    return cnt.join(cor, "PopID").select("PopID", r_round("spearman", 2).alias("cor"), "count")
+    cnt = c.groupBy("PopID").agg(n_distinct_na("BreedingSeason").alias("count"))
+    return join_null_safe(cnt, cor, ["PopID"]).select("PopID", r_round("spearman", 2).alias("cor"), "count")
 
 
 def metric_agreement_overall(agreement: DataFrame) -> DataFrame:
@@ -150,11 +151,12 @@ def standardised_change(std: DataFrame, skip_missing: bool = False) -> DataFrame
     population, then z-scored within the population.
 
     ``skip_missing`` drops incomplete seasons first (exploratory variant); otherwise a
-    season with a missing value breaks the chain for the next season.
+    season with a missing value breaks the chain for the next season. An unknown season
+    comes last.
     """
     if skip_missing:
         std = std.na.drop("any")
-    w = Window.partitionBy("PopID").orderBy("BreedingSeason")
+    w = Window.partitionBy("PopID").orderBy(F.col("BreedingSeason").asc_nulls_last())
     d = std.withColumn("_lag", F.abs(F.col("envStd_fledge_num")
                                      - F.lag("envStd_fledge_num").over(w)))
     _, _, z = zscore("_lag", ["PopID"])

@@ -1,17 +1,19 @@
-"""Capture histories: yearly pair-bond event codes per individual.
+"""Capture histories: yearly pair-bond event codes of each bird.
 
-Code meanings (focal bird = the individual whose history is built, partner = its mate):
-  0 focal not captured (and nothing known about its previous partner)
-  1 captured with the same partner as its previous record
-  2 captured with a different partner
-  3 captured with a partner, relationship to a previous partner unknown
-  4 captured without a known partner, previous partner breeding elsewhere this year
-  5 captured without a known partner, previous partner not breeding / unknown
-  6 not captured, previous partner breeding this year with a known bird
+A code tells what became of the bird whose history is built and of the mate it had before:
 
-Reference semantics: the grid is every known focal bird x every season observed in its
-population; rows are ordered by (year, order, tie) within a bird and the code uses the
-previous *row*'s partner; the first record of each year is kept after coding.
+  0  bird not captured, and no news of its earlier mate either
+  1  captured together with the mate of its record before
+  2  captured together with another mate
+  3  captured with a mate, and nothing known of an earlier one
+  4  captured without a known mate, while the earlier mate bred elsewhere that year
+  5  captured without a known mate, the earlier mate not breeding or not known
+  6  not captured, while the earlier mate bred that year with a known bird
+
+The grid has every known bird in every season observed in its population; rows are ordered
+by (year, order, tie) within a bird and the code looks at the mate of the *row* before; the
+first record of a year is kept after coding. An unknown year is one more year that sorts
+last, an unknown population one more population.
 
 Only a year's first record is kept, and its previous row is the last record of the
 population's previous observed year (a filled year has no partner). So the operator
@@ -26,8 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broodline.functions.nulls import broadcast_if_bounded, first_last_by
-from broodline.session import cut_if_deep
+from broodline.functions.nulls import first_last_by, join_null_safe
 
 ROLES = {
     "female": ("male", "f_pair_num"),
@@ -54,19 +55,19 @@ def event_codes(pairs: DataFrame, focal: str = "female",
     """
     partner, pair_num = ROLES[focal]
     order = _record_order(focal)
-    P = cut_if_deep(pairs).select("pop", "year", focal, partner, pair_num, "order", "source_rank", "row_ord")
+    P = pairs.select("pop", "year", focal, partner, pair_num, "order", "source_rank", "row_ord")
 
-    # observed years of each population (any row, also rows of unknown focal birds);
-    # populations x years is small, so the bird x year grid join broadcasts it (size-checked)
-    years = broadcast_if_bounded(P.select("pop", "year").distinct())
+    # observed years of each population (any row, also rows of unknown focal birds): a small
+    # table, which the planner broadcasts by its size and AQE splits the join beyond that
+    years = P.select("pop", "year").distinct()
     recs = P.where(F.col(focal).isNotNull())
     per_year = recs.groupBy("pop", focal, "year").agg(
         *first_last_by(partner, order, "_first", "_last"),
         F.max(F.col(pair_num) == 2).alias("_pn2"),
         F.count(F.lit(1)).alias("_n"))
-    grid = recs.select("pop", focal).distinct().join(years, "pop")
-    g = grid.join(per_year, ["pop", focal, "year"], "left")
-    w = Window.partitionBy("pop", focal).orderBy("year")
+    grid = join_null_safe(recs.select("pop", focal).distinct(), years, ["pop"], "inner")
+    g = join_null_safe(grid, per_year, ["pop", focal, "year"])
+    w = Window.partitionBy("pop", focal).orderBy(F.col("year").asc_nulls_last())
     wb = Window.partitionBy("pop", focal)
     g = g.select(
         "pop", focal, "year",
@@ -80,13 +81,12 @@ def event_codes(pairs: DataFrame, focal: str = "female",
     pres = (P.where(F.col(partner).isNotNull())
             .groupBy("pop", "year", F.col(partner).alias("_p"))
             .agg(F.max(F.col(focal).isNotNull()).alias("_known")))
-    # rows without a previous partner skip the join (they would all share the NULL key)
-    no_prev = g.where(F.col("_p").isNull()).withColumns(
-        {"_b": F.lit(None).cast("boolean"), "_k": F.lit(None).cast("boolean")})
-    with_prev = g.where(F.col("_p").isNotNull()).join(pres, ["pop", "year", "_p"], "left") \
-        .withColumns({"_b": F.col("_known").isNotNull(),
-                      "_k": F.coalesce("_known", F.lit(False))}).drop("_known")
-    g = no_prev.unionByName(with_prev)
+    # rows without a previous partner match nothing; the second key spreads them
+    g = g.withColumn("_spread", F.when(F.col("_p").isNull(), F.xxhash64(focal)).otherwise(0))
+    g = join_null_safe(g, pres.withColumn("_spread", F.lit(0).cast("bigint")), ["pop", "year", "_p", "_spread"])
+    known = F.col("_p").isNotNull()
+    g = g.withColumns({"_b": F.when(known, F.col("_known").isNotNull()),
+                       "_k": F.when(known, F.coalesce("_known", F.lit(False)))})
 
     c, m, p, b, k = (F.col(x) for x in ("captured", "_m", "_p", "_b", "_k"))
     six = (~c & b & k) if require_known_partner else (~c & b)
@@ -101,23 +101,30 @@ def event_codes(pairs: DataFrame, focal: str = "female",
     return g.select("pop", focal, "year", "multi_partner", code.alias("event_code"))
 
 
-def observed_years(df: DataFrame) -> list[int]:
-    """Sorted distinct ``year`` values (calendar-bounded, a few hundred at most) for pivot
-    columns. Event codes cover exactly the observed years of the pair rows they were built
-    from, so passing those pair rows avoids evaluating the codes twice."""
-    return sorted(r[0] for r in df.select("year").distinct().collect())
+NO_YEAR = "NA"  # column of an unknown year
+
+
+def observed_years(df: DataFrame) -> list[int | None]:
+    """Distinct ``year`` values in order, an unknown year last (calendar-bounded, a few
+    hundred at most), for pivot columns. Event codes cover exactly the observed years of
+    the pair rows they were built from, so passing those pair rows avoids evaluating the
+    codes twice."""
+    years = [r[0] for r in df.select("year").distinct().collect()]
+    return sorted((y for y in years if y is not None)) + [None] * (None in years)
 
 
 def wide_history(codes: DataFrame, focal: str = "female",
-                 years: list[int] | None = None) -> DataFrame:
-    """One row per (pop, focal, multi_partner), one column per year (``"1995"``, ...).
+                 years: list[int | None] | None = None) -> DataFrame:
+    """One row per (pop, focal, multi_partner), one column per year (``"1995"``, ..., and
+    ``"NA"`` for an unknown year).
 
     A year not observed in a population is NULL in that population's rows; every observed
     year of a population is filled. Pass ``years`` to skip the distinct-years job.
     """
     years = years if years is not None else observed_years(codes)
-    return (codes.groupBy("pop", focal, "multi_partner")
-            .pivot("year", years).agg(F.max("event_code")))
+    named = codes.withColumn("_year", F.coalesce(F.col("year").cast("string"), F.lit(NO_YEAR)))
+    return (named.groupBy("pop", focal, "multi_partner")
+            .pivot("_year", [NO_YEAR if y is None else str(y) for y in years]).agg(F.max("event_code")))
 
 
 def write_histories_per_population(codes: DataFrame, path: str) -> None:
@@ -135,45 +142,50 @@ def pair_diagnostics(pairs: DataFrame) -> DataFrame:
 
     ``prev_partner``: female of the male's previous grid row.
     ``prev_partner_known_pair``: the row's male is known (always TRUE here).
-    ``breeding_previous_year``: for a known female, FALSE on her first row in the order
-    (prev_partner, year, male; NULL last, then input order), TRUE on later rows.
+    ``breeding_previous_year``: for a known female, whether her row before in the order
+    (prev_partner, year, male; NULL last, then input order) has a known year; FALSE on her
+    first row. Rows are reduced to one per (female, previous partner), whose first row and
+    first row without a year decide that.
     ``same_female_partner``: within (pop, female, year) in that order, whether the male
     equals the previous row's male (NULL when either is unknown or on the first row).
     Cross-year lags run on one row per (pop, male, year); within-year windows hold the
-    records of one bird in one season.
+    records of one known bird in one season.
     """
-    P = cut_if_deep(pairs).select("pop", "year", "female", "male", "row_ord")
-    years = broadcast_if_bounded(P.select("pop", "year").distinct())
+    P = pairs.select("pop", "year", "female", "male", "row_ord")
+    years = P.select("pop", "year").distinct()
     recs = P.where(F.col("male").isNotNull())
     per_year = recs.groupBy("pop", "male", "year").agg(
         F.max_by("female", "row_ord").alias("_last_f"), F.count(F.lit(1)).alias("_n"))
-    grid = recs.select("pop", "male").distinct().join(years, "pop") \
-        .join(per_year, ["pop", "male", "year"], "left")
-    grid = grid.withColumn(
-        "_prev_year", F.lag("_last_f").over(Window.partitionBy("pop", "male").orderBy("year")))
+    grid = join_null_safe(join_null_safe(recs.select("pop", "male").distinct(), years, ["pop"], "inner"),
+                          per_year, ["pop", "male", "year"])
+    grid = grid.withColumn("_prev_year", F.lag("_last_f").over(
+        Window.partitionBy("pop", "male").orderBy(F.col("year").asc_nulls_last())))
     wy = Window.partitionBy("pop", "male", "year").orderBy("row_ord")
-    real = recs.join(grid.select("pop", "male", "year", "_prev_year"), ["pop", "male", "year"]) \
+    real = join_null_safe(recs, grid.select("pop", "male", "year", "_prev_year"), ["pop", "male", "year"], "inner") \
         .withColumn("prev_partner", F.when(F.row_number().over(wy) == 1, F.col("_prev_year"))
                     .otherwise(F.lag("female").over(wy))).drop("_prev_year")
     filled = grid.where(F.col("_n").isNull()).select(
         "pop", "year", F.lit(None).cast("string").alias("female"), "male",
         F.lit(None).cast("bigint").alias("row_ord"), F.col("_prev_year").alias("prev_partner"))
-    rows = real.select("pop", "year", "female", "male", "row_ord", "prev_partner") \
-        .unionByName(filled)
-
-    order = ["prev_partner", "year", "male", "row_ord"]
-    first = rows.where(F.col("female").isNotNull()).groupBy("pop", "female").agg(
-        F.min_by("row_ord", F.struct(*[x for c in order for x in
-                                       (F.col(c).isNull(), F.col(c))])).alias("_first"))
-    rows = rows.join(first, ["pop", "female"], "left")
+    cols = ["pop", "year", "female", "male", "row_ord", "prev_partner"]
+
+    # what depends on the female is NULL for an unknown one: only rows of known females, of
+    # which a season has a bounded number, go through her joins and windows
+    known = real.where(F.col("female").isNotNull()).select(*cols)
+    order = F.struct(F.col("year").isNull(), "year", "male", "row_ord")
+    groups = known.groupBy("pop", "female", "prev_partner").agg(
+        F.min_by("row_ord", order).alias("_first"),
+        F.min_by("row_ord", F.when(F.col("year").isNull(), order)).alias("_first_no_year"))
+    before = F.lag(F.col("_first_no_year").isNotNull(), 1, True).over(
+        Window.partitionBy("pop", "female").orderBy(F.col("prev_partner").asc_nulls_last()))
+    groups = groups.withColumn("_after_no_year", before)
     wf = Window.partitionBy("pop", "female", "year").orderBy(
         *[F.col(c).asc_nulls_last() for c in ("prev_partner", "male", "row_ord")])
     lm = F.lag("male").over(wf)
-    known = F.col("female").isNotNull() & F.col("male").isNotNull() & (F.row_number().over(wf) > 1)
-    return rows.select(
-        "pop", "year", "female", "male", "row_ord", "prev_partner",
-        F.col("male").isNotNull().alias("prev_partner_known_pair"),
-        F.when(F.col("female").isNotNull(), F.col("row_ord") != F.col("_first"))
-         .alias("breeding_previous_year"),
-        F.when(known & (F.col("male") == lm), True).when(known & (F.col("male") != lm), False)
-         .alias("same_female_partner"))
+    known = join_null_safe(known, groups, ["pop", "female", "prev_partner"]).withColumns({
+        "breeding_previous_year": ~((F.col("_after_no_year") & (F.col("row_ord") == F.col("_first")))
+                                    | (F.col("year").isNull() & (F.col("row_ord") != F.col("_first_no_year")))),
+        "same_female_partner": F.when(F.row_number().over(wf) > 1, F.col("male") == lm)})
+    rest = real.where(F.col("female").isNull()).select(*cols).unionByName(filled)
+    return known.unionByName(rest, allowMissingColumns=True).select(
+        *cols, F.lit(True).alias("prev_partner_known_pair"), "breeding_previous_year", "same_female_partner")

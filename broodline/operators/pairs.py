@@ -16,7 +16,7 @@ from broodline.functions.clean import (
     FEMALE_UNKNOWN_PAIRING, MALE_UNKNOWN_PAIRING, SPECIES, clutch_order, date_observed_columns,
     experiment_flag, recode_experiment,
 )
-from broodline.session import cut_if_deep, materialize
+from broodline.session import stage as stage_parquet
 from broodline.functions.nulls import (
     count_true, join_null_safe, keep_first, left_plus_missing, n_distinct_na, sole_value,
 )
@@ -109,11 +109,12 @@ def first_season(pairs: DataFrame, ref: DataFrame | None = None,
 
     ``literal`` (default, reference parity): the reference's grouped ``select`` drags the
     male column along, so its ``na.omit`` keeps only females, and only their rows with a
-    known male. ``both_sexes``: the evident intent, every known female and male.
+    known male. ``both_sexes``: the evident intent, every known female and male. Rows with
+    an unknown season or population are dropped in both.
     """
     if mode == "literal":
-        src = (pairs.where(F.col("FemaleID").isNotNull() & F.col("MaleID").isNotNull())
-               .select("PopID", "BreedingSeason", F.col("FemaleID").alias("IndvID")))
+        src = (pairs.select("PopID", "BreedingSeason", F.col("FemaleID").alias("IndvID"), "MaleID")
+               .na.drop("any"))
     elif mode == "both_sexes":
         ref = pairs if ref is None else ref
         src = (pairs.select("PopID", "BreedingSeason", F.col("FemaleID").alias("IndvID"))
@@ -250,29 +251,29 @@ def final_pairs(pairs: DataFrame, keep_tie: bool = True) -> DataFrame:
 def drop_unorderable(pairs: DataFrame, focal: str = "male") -> DataFrame:
     """Remove every record of birds (any population) with a "yes" unorderable flag.
 
-    Anti-join on the ID only; rows with an unknown focal bird are kept.
+    Anti-join on the ID only; rows with an unknown focal bird are kept, and go round the
+    join (their NULL key would meet in one partition). The flagged birds are grouped by
+    (bird, flag), so the join deals them anew by bird: AQE splits a hot bird only where an
+    exchange stands directly below the join.
     """
     flag = {"male": "no_order_m", "female": "no_order_f"}[focal]
-    pairs = cut_if_deep(pairs)
-    bad = pairs.where(F.col(flag) == "yes").select(focal).distinct()
-    return pairs.join(bad, on=focal, how="left_anti")
+    bad = pairs.where((F.col(flag) == "yes") & F.col(focal).isNotNull()).groupBy(focal, flag).count().select(focal)
+    return pairs.where(F.col(focal).isNotNull()).join(bad, on=focal, how="left_anti") \
+        .select(pairs.columns).unionByName(pairs.where(F.col(focal).isNull()))
 
 
 def pairs_table(brood: DataFrame, capture: DataFrame, mode: str = "literal",
-                species: str = SPECIES, stage=materialize) -> DataFrame:
+                species: str = SPECIES, stage=stage_parquet) -> DataFrame:
     """Brood + capture tables -> ordered pair rows with all flags (before the filter).
 
-    ``stage`` (default: reliable checkpoint into ``spark.checkpoint.dir``) is applied at
-    the natural stage boundaries (clean pairs, enriched captures, joined pairs); each later
-    step reads its input several times (aggregate + join back), so cutting there keeps plans
-    small and
-    lets a lost executor recompute from the stage output instead of from the raw scan.
+    ``stage`` (default: Parquet in the shared checkpoint folder) is applied after the clean
+    pairs and after the joined pairs; the steps after each read them several times
+    (aggregate + join back), so cutting there keeps plans small, lets each reader scan only
+    its columns, and lets a lost executor recompute from the stage instead of the raw scan.
     Pass ``stage=None`` for a single lazy plan.
     """
     stage = stage or (lambda d: d)
-    brood, capture = cut_if_deep(brood), cut_if_deep(capture)
     ref = pairing_brood(brood, species)
     cp = stage(clean_pairs(ref))
-    first = first_season(cp, ref, mode)
-    caps = stage(capture_enrichment(capture, first, species))
+    caps = capture_enrichment(capture, first_season(cp, ref, mode), species)
     return pair_order(stage(build_pairs(cp, caps)))

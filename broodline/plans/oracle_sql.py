@@ -51,7 +51,8 @@ clean_pairs AS (
 ),
 first_lit AS (
   select PopID, FemaleID as IndvID, min(BreedingSeason) as breed_year
-  from clean_pairs where FemaleID is not null and MaleID is not null group by PopID, FemaleID
+  from clean_pairs where FemaleID is not null and MaleID is not null
+    and PopID is not null and BreedingSeason is not null group by PopID, FemaleID
 ),
 first_both AS (
   select PopID, IndvID, min(BreedingSeason) as breed_year from (
@@ -166,13 +167,13 @@ grid{sfx} AS (
   from {src} where {focal} is not null
   union all
   select g.pop, g.year, g.{focal}, null, null, null, null, null, false
-  from (select f.pop, f.{focal}, y.year from foc{sfx} f join yrs{sfx} y on f.pop = y.pop) g
-  where not exists (select 1 from {src} s where s.pop = g.pop and s.{focal} = g.{focal}
-                    and s.year = g.year)
+  from (select f.pop, f.{focal}, y.year from foc{sfx} f join yrs{sfx} y on f.pop is not distinct from y.pop) g
+  where not exists (select 1 from {src} s where s.pop is not distinct from g.pop and s.{focal} = g.{focal}
+                    and s.year is not distinct from g.year)
 ),
 lagged{sfx} AS (
   select *,
-    lag({partner}) over (partition by pop, {focal} order by year, "order" nulls last, {tie}) as prev,
+    lag({partner}) over (partition by pop, {focal} order by year nulls last, "order" nulls last, {tie}) as prev,
     bool_or({pn} = 2) over (partition by pop, {focal}) as mp
   from grid{sfx}
 ),
@@ -184,7 +185,8 @@ coded{sfx} AS (
   select l.*,
     case when prev is null then null else p.pp is not null end as B,
     case when prev is null then null else coalesce(p.known, false) end as K
-  from lagged{sfx} l left join pres{sfx} p on l.pop = p.pop and l.year = p.year and l.prev = p.pp
+  from lagged{sfx} l left join pres{sfx} p on l.pop is not distinct from p.pop
+    and l.year is not distinct from p.year and l.prev = p.pp
 ),
 codes{sfx} AS (
   select pop, {focal}, year, cast(case when mp then 1 else 0 end as integer) as multi_partner,
@@ -228,6 +230,7 @@ _YEARS = range(1995, 2002)
 
 def _wide(focal: str, codes_cte: str) -> str:
     cols = ", ".join(f"max(case when year = {y} then event_code end) as \"{y}\"" for y in _YEARS)
+    cols += ", max(case when year is null then event_code end) as \"NA\""
     return f"select pop, {focal}, multi_partner, {cols} from {codes_cte} where rn = 1 " \
            f"group by pop, {focal}, multi_partner"
 
@@ -303,14 +306,15 @@ records AS (
 fid AS (
   select r.*,
     case when FemaleID is null then 0
-         else count(distinct BreedingSeason) over (partition by PopID, FemaleID) end as num_yrs,
+         else count(distinct BreedingSeason) over (partition by PopID, FemaleID)
+           + max(case when BreedingSeason is null then 1 else 0 end) over (partition by PopID, FemaleID) end as num_yrs,
     case when FemaleID is not null and MaleID is not null and lag(MaleID) over w = MaleID
               and lag(BreedingSeason) over w <> BreedingSeason then 'same'
          when FemaleID is not null and MaleID is not null and lag(MaleID) over w <> MaleID
               and lag(BreedingSeason) over w <> BreedingSeason then 'switched' end as partner,
     cast(length(FemaleID) as integer) as ncharID_F, cast(length(MaleID) as integer) as ncharID_M
   from records r
-  window w as (partition by PopID, FemaleID order by BreedingSeason, LayDate_observed nulls last, row_ord)
+  window w as (partition by PopID, FemaleID order by BreedingSeason nulls last, LayDate_observed nulls last, row_ord)
 ),
 rep AS (
   select PopID, BreedingSeason,
@@ -390,7 +394,7 @@ agree AS (
   select PopID,
     round_even(case when regr_sxx(ry, rx) > 0 and regr_syy(ry, rx) > 0
       then regr_sxy(ry, rx) / sqrt(regr_sxx(ry, rx) * regr_syy(ry, rx)) end, 2) as cor,
-    count(distinct BreedingSeason) as count
+    count(distinct BreedingSeason) + max(case when BreedingSeason is null then 1 else 0 end) as count
   from ranked group by PopID
 ),
 std AS (
@@ -411,7 +415,7 @@ def _change(src: str) -> str:
 select PopID, BreedingSeason, round(envStd_fledge_num, 6) as envStd_fledge_num,
   round((d - avg(d) over p) / nullif(stddev_samp(d) over p, 0), 6) as Ztrans_envStd_fledge_num_lag
 from (select *, abs(envStd_fledge_num - lag(envStd_fledge_num)
-                    over (partition by PopID order by BreedingSeason)) as d from {src}) x
+                    over (partition by PopID order by BreedingSeason nulls last)) as d from {src}) x
 window p as (partition by PopID)"""
 
 
@@ -425,7 +429,7 @@ OTHER_QUERIES: dict[str, str] = {
     "repair_rate": _with(BREEDING_CTES) + """
 select PopID, BreedingSeason, repairs, tot_pairs,
   round(case when tot_pairs = 0 then null else repairs / tot_pairs end, 6) as repair_prop
-from rep where PopID in (select PopID from rep group by PopID having sum(repairs) > 0)""",
+from (select *, sum(repairs) over (partition by PopID) as all_repairs from rep) x where all_repairs > 0""",
     "capture_records": _with(f"capture AS ({CAPTURE_VIEW_SQL}),") + """
 select CapturePopID, IndvID, BreedingSeason, Age_calculated, Experiment from (
   select *, case when bool_or(ExperimentID is not null) over (partition by BreedingSeason, IndvID)
@@ -454,7 +458,7 @@ select round(sum(case when cor is not null then cor * count end)
     "fledge_standardised": _with(FLEDGE_CTES) + f"select {_r6(*_STD_COLS)} from std",
     "fledge_change": _with(FLEDGE_CTES) + _change("std"),
     "fledge_change_skip_missing": _with(FLEDGE_CTES) + _change(
-        "(select * from std where pop_year_fledge_avg is not null and pop_tot_fledge_avg is not null"
+        "(select * from std where PopID is not null and BreedingSeason is not null and pop_year_fledge_avg is not null and pop_tot_fledge_avg is not null"
         " and pop_tot_fledge_sd is not null and envStd_fledge_num is not null)"),
     "metric_long": _with(FLEDGE_CTES) + """
 select PopID, BreedingSeason, 'fledge_fem_avg' as metric, round(fledge_fem_avg, 6) as value from adj
@@ -481,19 +485,21 @@ from fin group by PopID, BreedingSeason""",
 }
 
 _OVERVIEW = """
-pops AS (select distinct PopID as pop_code from brood union all select 'NODATA'),
-done AS (select distinct pop as PopID from final where pop <> (select max(pop) from final)),
+pops AS (select distinct PopID as pop_code from brood where PopID is not null union all select 'NODATA'),
+done AS (select distinct PopID from fin where PopID is not null),
 """
-OTHER_QUERIES["population_overview"] = _with(_PAIRS, _OVERVIEW) + """
+OTHER_QUERIES["population_overview"] = _with(FLEDGE_CTES, _OVERVIEW) + """
 select a.PopID, a.num_pairs, b.num_years, d.done from
   (select PopID, count(*) as num_pairs from (select distinct PopID, MaleID, FemaleID from brood
      where MaleID is not null and FemaleID is not null) x group by PopID) a
-  join (select PopID, cast(max(BreedingSeason) + 1 - min(BreedingSeason) as integer) as num_years
-        from brood where MaleID is not null and FemaleID is not null group by PopID) b on a.PopID = b.PopID
+  join (select PopID, case when count(BreedingSeason) = count(*)
+          then cast(max(BreedingSeason) + 1 - min(BreedingSeason) as integer) end as num_years
+        from brood where MaleID is not null and FemaleID is not null group by PopID) b
+    on a.PopID is not distinct from b.PopID
   left join (select p.pop_code as PopID, dd.done from pops p
              left join (select distinct PopID, 'yes' as done from done) dd on p.pop_code = dd.PopID) d
     on a.PopID = d.PopID"""
-OTHER_QUERIES["populations_missing"] = _with(_PAIRS, _OVERVIEW) + \
+OTHER_QUERIES["populations_missing"] = _with(FLEDGE_CTES, _OVERVIEW) + \
     "select pop_code from pops where pop_code not in (select PopID from done)"
 
 
@@ -503,16 +509,15 @@ mal_d AS (select distinct pop, male from final where male is not null),
 g_d AS (
   select pop, year, female, male, row_ord from final where male is not null
   union all
-  select m.pop, y.year, null, m.male, null from mal_d m join yrs_d y on m.pop = y.pop
-  where not exists (select 1 from final f where f.pop = m.pop and f.male = m.male and f.year = y.year)
+  select m.pop, y.year, null, m.male, null from mal_d m join yrs_d y on m.pop is not distinct from y.pop
+  where not exists (select 1 from final f where f.pop is not distinct from m.pop and f.male = m.male
+                    and f.year is not distinct from y.year)
 ),
-l_d AS (select *, lag(female) over (partition by pop, male order by year, row_ord nulls last)
+l_d AS (select *, lag(female) over (partition by pop, male order by year nulls last, row_ord nulls last)
           as prev_partner from g_d)
 select pop, year, female, male, row_ord, prev_partner, male is not null as prev_partner_known_pair,
-  case when female is null then null
-       when row_number() over (partition by pop, female order by prev_partner nulls last, year,
-                               male nulls last, row_ord nulls last) = 1 then false else true end
-    as breeding_previous_year,
+  case when female is not null then lag(year) over (partition by pop, female order by prev_partner nulls last,
+    year nulls last, male nulls last, row_ord nulls last) is not null end as breeding_previous_year,
   case when female is not null and male is not null and lag(female) over w2 is not null
             and male = lag(male) over w2 then true
        when female is not null and male is not null and lag(female) over w2 is not null

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broodline.operators import breeding, captures, fledge, history, overview, pairs
-from broodline.session import materialize
+from broodline.session import materialize, stage
 from broodline.sources.adapters import brood_view, capture_view, done_view, populations_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +35,7 @@ CLEAN_COLS = ["row_ord", "PopID", "BreedingSeason", "LocationID", "FemaleID", "M
 
 # ---------------------------------------------------------------- pairs (P1)
 def _clean(spark, d):
-    return materialize(pairs.clean_pairs(pairs.pairing_brood(materialize(brood_view(spark, d)))))
+    return stage(pairs.clean_pairs(pairs.pairing_brood(brood_view(spark, d))))
 
 
 def q_partner_multiplicity(spark, d):
@@ -60,7 +60,7 @@ def q_first_season_literal(spark, d):
 
 def q_first_season_both(spark, d):
     ref = pairs.pairing_brood(brood_view(spark, d))
-    return pairs.first_season(pairs.clean_pairs(ref), ref, mode="both_sexes")
+    return pairs.first_season(_clean(spark, d), ref, mode="both_sexes")
 
 
 def q_capture_enrichment(spark, d):
@@ -69,11 +69,7 @@ def q_capture_enrichment(spark, d):
 
 
 def _ordered_pairs(spark, d, mode="literal"):
-    # the chain reads the brood input several times (aggregate + join back); the adapter
-    # view is a derived table, so it is written once, like the stored table it stands for
-    # (the capture side is cut after enrichment, where it is already small)
-    return pairs.pairs_table(materialize(brood_view(spark, d)), capture_view(spark, d),
-                             mode=mode, stage=materialize)
+    return pairs.pairs_table(brood_view(spark, d), capture_view(spark, d), mode=mode)
 
 
 def q_build_pairs(spark, d):
@@ -88,7 +84,7 @@ def final_pairs_tie(spark, d, mode="literal", cut=True):
     """The pair table (product P1); the reference writes it to disk here as well.
     ``cut=False`` for consumers that read it once."""
     fp = pairs.final_pairs(_ordered_pairs(spark, d, mode), keep_tie=True)
-    return materialize(fp) if cut else fp
+    return stage(fp) if cut else fp
 
 
 def q_final_pairs(spark, d):
@@ -108,7 +104,7 @@ def _codes(spark, d, focal, require_known_partner=True):
     """(event codes, the pair rows they were built from)."""
     fp = final_pairs_tie(spark, d)
     if focal == "male":
-        fp = pairs.drop_unorderable(fp, "male")
+        fp = stage(pairs.drop_unorderable(fp, "male"))  # the coder reads it four times
     return history.event_codes(fp, focal, require_known_partner), fp
 
 
@@ -128,7 +124,7 @@ def q_event_codes_male_any_partner(spark, d):
 def _wide(spark, d, focal):
     codes, fp = _codes(spark, d, focal)
     # the codes cover exactly the observed years of their pair rows: take the pivot
-    # columns from that (checkpointed) table instead of running the codes twice
+    # columns from that (staged) table instead of running the codes twice
     return history.wide_history(codes, focal, years=history.observed_years(fp))
 
 
@@ -147,7 +143,7 @@ def q_pair_diagnostics(spark, d):
 # ---------------------------------------------------------------- records (P4, P5)
 def _records(spark, d):
     """The breeding-record table (product P4, written to disk by the reference as well)."""
-    return materialize(breeding.breeding_records(brood_view(spark, d)))
+    return stage(breeding.breeding_records(brood_view(spark, d)))
 
 
 def q_breeding_records(spark, d):
@@ -238,7 +234,7 @@ def q_nests_females_per_year(spark, d):
 # ---------------------------------------------------------------- overview (P8)
 def _lookups(spark, d):
     b = brood_view(spark, d)
-    return b, populations_view(b), done_view(final_pairs_tie(spark, d, cut=False))
+    return b, populations_view(b), done_view(fledge.fledge_input(b))
 
 
 def q_population_overview(spark, d):

@@ -85,28 +85,3 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# analyzed-plan size (tree lines) above which a self-joining operator cuts its input first
-MAX_PLAN_LINES = 250
-
-
-def plan_lines(df: DataFrame) -> int | None:
-    """Lines of the analyzed logical plan (a size proxy); None when not inspectable."""
-    try:
-        return df._jdf.queryExecution().analyzed().treeString().count("\n")
-    except Exception:  # e.g. Spark Connect
-        return None
-
-
-def cut_if_deep(df: DataFrame, max_lines: int | None = None) -> DataFrame:
-    """Checkpoint ``df`` when its plan is deep, before an operator joins it with itself.
-
-    Each aggregate-and-join-back copies the input plan; on an already deep plan the copies
-    compound and planning time grows exponentially. A materialized input is a leaf, so
-    this is free for inputs that were already cut.
-    """
-    n = plan_lines(df)
-    limit = max_lines or int(df.sparkSession.conf.get("spark.broodline.maxPlanLines",
-                                                      str(MAX_PLAN_LINES)))
-    return materialize(df) if n is None or n > limit else df
