@@ -134,6 +134,33 @@ def write_histories_per_population(codes: DataFrame, path: str) -> None:
     write_csv_r(codes, path, partition_by="pop")
 
 
+def write_wide_per_population(codes: DataFrame, focal: str, path: str) -> list[tuple[str, list[int | None]]]:
+    """Wide histories, one folder per population, each with the columns of that
+    population's own years and with its ``pop`` column.
+
+    Populations that were observed in the same years share one distributed write, so there
+    are as many writes as different sets of years. Returns (folder, years) of each write;
+    below a folder are ``population=<code>`` folders.
+    """
+    from broodline.sources.rcsv import write_csv_r
+    seen = codes.select("pop", "year").distinct().collect()  # populations x calendar years
+    years_of: dict = {}
+    for pop, year in seen:
+        years_of.setdefault(pop, set()).add(year)
+    groups: dict = {}
+    for pop, years in years_of.items():
+        groups.setdefault((*sorted(y for y in years if y is not None), *([None] * (None in years))), []).append(pop)
+    out = []
+    for k, (years, pops) in enumerate(sorted(groups.items(), key=str)):
+        own = F.col("pop").isin([p for p in pops if p is not None])
+        own = F.coalesce(own, F.lit(False)) | (F.col("pop").isNull() if None in pops else F.lit(False))
+        folder = f"{path.rstrip('/')}/years-{k}"
+        wide = wide_history(codes.where(own), focal, list(years))
+        write_csv_r(wide.withColumn("population", F.col("pop")), folder, partition_by="population")
+        out.append((folder, list(years)))
+    return out
+
+
 def pair_diagnostics(pairs: DataFrame) -> DataFrame:
     """Diagnostic columns of the reference's male test variant, per row of the male grid
     (every known male x every observed year of its population; filled rows have

@@ -152,7 +152,7 @@ def capture_enrichment(capture: DataFrame, first: DataFrame, species: str = SPEC
         F.col("_f.row_ord").alias("row_ord"))
 
 
-def build_pairs(pairs: DataFrame, captures: DataFrame) -> DataFrame:
+def build_pairs(pairs: DataFrame, captures: DataFrame, labels: bool = False) -> DataFrame:
     """Pairs enriched with capture-only records, experiment flags propagated.
 
     Two full joins on (PopID, season, female|male) add captures of females, then of males;
@@ -160,7 +160,8 @@ def build_pairs(pairs: DataFrame, captures: DataFrame) -> DataFrame:
     flags both birds; then both ``Female_exp`` *and* ``Male_exp`` are OR-ed over
     (PopID, FemaleID) (reference behaviour: NULL female is one group per population).
     ``source_rank`` (0 brood, 1 female capture, 2 male capture) + ``row_ord`` carry the
-    reference's row order for later tie-breaks.
+    reference's row order for later tie-breaks. ``labels`` adds ``extra_f`` / ``extra_m``:
+    whether any record of the female / male in the population came from captures only.
     """
     dates = [c for c in date_observed_columns(pairs)]
     bp = pairs.select(
@@ -194,11 +195,17 @@ def build_pairs(pairs: DataFrame, captures: DataFrame) -> DataFrame:
     flags = j.groupBy(*fk).agg(F.max("Female_exp").alias("_fx"), F.max("Male_exp").alias("_mx"))
     j = join_null_safe(j, flags, fk).withColumns({"Female_exp": F.col("_fx"),
                                                   "Male_exp": F.col("_mx")})
+    extra = []
+    if labels:
+        only = F.max(F.col("brood").isNull())
+        j = join_null_safe(j, j.groupBy(*fk).agg(only.alias("extra_f")), fk)
+        j = join_null_safe(j, j.groupBy("PopID", "MaleID").agg(only.alias("extra_m")), ["PopID", "MaleID"])
+        extra = ["extra_f", "extra_m"]
     return j.select(
         "PopID", "BreedingSeason", "LocationID", "ClutchType_calculated", *dates, "Brood_exp",
         "brood", "FemaleID", "Female_cap_dat", "Record_f", "Num_male_partners", "Female_exp",
         "MaleID", "Male_cap_dat", "Record_m", "Num_female_partners", "Male_exp",
-        F.col("source_rank").cast("int").alias("source_rank"), "row_ord")
+        *extra, F.col("source_rank").cast("int").alias("source_rank"), "row_ord")
 
 
 def pair_order(pairs: DataFrame) -> DataFrame:
@@ -263,7 +270,7 @@ def drop_unorderable(pairs: DataFrame, focal: str = "male") -> DataFrame:
 
 
 def pairs_table(brood: DataFrame, capture: DataFrame, mode: str = "literal",
-                species: str = SPECIES, stage=stage_parquet) -> DataFrame:
+                species: str = SPECIES, stage=stage_parquet, labels: bool = False) -> DataFrame:
     """Brood + capture tables -> ordered pair rows with all flags (before the filter).
 
     ``stage`` (default: Parquet in the shared checkpoint folder) is applied after the clean
@@ -276,4 +283,4 @@ def pairs_table(brood: DataFrame, capture: DataFrame, mode: str = "literal",
     ref = pairing_brood(brood, species)
     cp = stage(clean_pairs(ref))
     caps = capture_enrichment(capture, first_season(cp, ref, mode), species)
-    return pair_order(stage(build_pairs(cp, caps)))
+    return pair_order(stage(build_pairs(cp, caps, labels)))

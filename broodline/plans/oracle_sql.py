@@ -256,7 +256,9 @@ select PopID, num_partners, count(*) as n from (
     "capture_enrichment": _with(_PAIRS) + """
 select PopID, BreedingSeason, IndvID, Sex_observed, CaptureDate, Cap_exp, years, capture, row_ord
 from cap_en""",
-    "build_pairs": _with(_PAIRS) + "select * exclude (nd_f, nd_m) from po",
+    "build_pairs": _with(_PAIRS) + """
+select * exclude (nd_f, nd_m), bool_or(brood is null) over (partition by PopID, FemaleID) as extra_f,
+  bool_or(brood is null) over (partition by PopID, MaleID) as extra_m from po""",
     "experiment_summary": _with(_PAIRS) + """
 select PopID,
   count(distinct case when Female_exp then FemaleID end) as Females_exp,
@@ -527,6 +529,15 @@ window w2 as (partition by pop, female, year order by prev_partner nulls last, m
               row_ord nulls last)"""
 
 
+OTHER_QUERIES["csv_breeding_records"] = _with(BREEDING_CTES) + """
+select row_number() over (order by PopID nulls last, BreedingSeason nulls last, FemaleID nulls last,
+  LayDate_observed nulls last, row_ord) as row, * from records"""
+OTHER_QUERIES["csv_pair_table"] = _with(_PAIRS) + \
+    f"select * replace (concat('\"', nest, '\", \"x\"\"') as nest) from (select {_FINAL10} from final where nest is not null)" \
+    f" union all select {_FINAL10} from final where nest is null"
+OTHER_QUERIES["csv_histories_female"] = PAIR_QUERIES["event_codes_female"]
+
+
 def oracle_queries() -> dict[str, str]:
     out = dict(PAIR_QUERIES)
     out.update(OTHER_QUERIES)

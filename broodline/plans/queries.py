@@ -7,6 +7,7 @@ the engine-independent comparison is not decided by the last bit of a float sum.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broodline.operators import breeding, captures, fledge, history, overview, pairs
-from broodline.session import materialize, stage
+from broodline.session import ensure_checkpoint_dir, materialize, stage
 from broodline.sources.adapters import brood_view, capture_view, done_view, populations_view
+from broodline.sources.rcsv import ROW_NAMES, read_csv_r, write_csv_r
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +75,7 @@ def _ordered_pairs(spark, d, mode="literal"):
 
 
 def q_build_pairs(spark, d):
-    return _ordered_pairs(spark, d)
+    return pairs.pairs_table(brood_view(spark, d), capture_view(spark, d), labels=True)
 
 
 def q_experiment_summary(spark, d):
@@ -247,6 +249,45 @@ def q_populations_missing(spark, d):
     return overview.populations_missing(pops, done)
 
 
+# ---------------------------------------------------------------- CSV side (sources and sinks)
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def q_csv_breeding_records(spark, d):
+    """``write.csv`` with row names, read back by ``read.csv`` with the columns in another
+    order."""
+    records, path = _records(spark, d), _scratch(spark, "records")
+    write_csv_r(records, path, row_names_by=["PopID", "BreedingSeason", "FemaleID", "LayDate_observed", "row_ord"])
+    fields = [T.StructField(ROW_NAMES, T.LongType()), *records.schema.fields]
+    return read_csv_r(spark, path, T.StructType(fields[::-1]), "base").withColumnRenamed(ROW_NAMES, "row")
+
+
+def q_csv_pair_table(spark, d):
+    """``write_csv`` of the pair table with quotes and commas in a field, read back by
+    ``read_csv``."""
+    path = _scratch(spark, "pairs")
+    table = final_pairs_tie(spark, d, cut=False).select(*FINAL10).withColumn(
+        "nest", F.concat(F.lit('"'), F.col("nest"), F.lit('", "x""')))
+    write_csv_r(table, path)
+    return read_csv_r(spark, path, table.schema, "readr")
+
+
+def q_csv_histories_female(spark, d):
+    """Wide histories, one folder per population with its own years, read back in long form."""
+    codes = stage(_codes(spark, d, "female")[0])
+    text, out = T.StringType(), None
+    for folder, years in history.write_wide_per_population(codes, "female", _scratch(spark, "histories")):
+        names = [history.NO_YEAR if y is None else str(y) for y in years]
+        schema = T.StructType([T.StructField("pop", text), T.StructField("female", text),
+                               T.StructField("multi_partner", T.IntegerType()), *(T.StructField(n, text) for n in names)])
+        wide = read_csv_r(spark, folder, schema, "readr")
+        long = wide.unpivot(["pop", "female", "multi_partner"], names, "year", "event_code")
+        long = long.withColumn("year", F.nullif("year", F.lit(history.NO_YEAR)).cast("int"))
+        out = long if out is None else out.unionByName(long)
+    return out.select("pop", "female", "year", "multi_partner", "event_code")
+
+
 QUERIES: dict[str, Query] = {
     "partner_multiplicity": q_partner_multiplicity,
     "partner_crosstab": q_partner_crosstab,
@@ -286,4 +327,7 @@ QUERIES: dict[str, Query] = {
     "nests_females_per_year": q_nests_females_per_year,
     "population_overview": q_population_overview,
     "populations_missing": q_populations_missing,
+    "csv_breeding_records": q_csv_breeding_records,
+    "csv_pair_table": q_csv_pair_table,
+    "csv_histories_female": q_csv_histories_female,
 }

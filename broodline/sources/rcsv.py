@@ -2,8 +2,10 @@
 
 ``base`` (``read.csv``): the text ``NA`` is missing, an empty text field stays ``""``.
 ``readr`` (``read_csv``): both ``NA`` and empty fields are missing.
-Typed (non-string) columns are read as text and converted with ``try_cast`` so a bad
-cell becomes NULL instead of failing the job (ANSI mode).
+Columns are found by their header, as R does; a wanted column that no header names is an
+error. Quotes inside a field are doubled. Typed (non-string) columns are read as text and
+converted with ``try_cast`` so a bad cell becomes NULL instead of failing the job (ANSI
+mode).
 """
 
 from __future__ import annotations
@@ -14,20 +16,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+QUOTING = {"quote": '"', "escape": '"'}
+NEVER = "\u0000NA-never\u0000"
+#: Header of the row-name column: R writes it empty and reads it as X.
+ROW_NAMES = "X"
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a CSV file or folder; an empty first name is ``ROW_NAMES``."""
+    names = spark.read.options(**QUOTING).option("header", True).csv(path).columns
+    return [ROW_NAMES if i == 0 and n in ("_c0", "") else n for i, n in enumerate(names)]
+
 
 def read_csv_r(spark: SparkSession, path: str, schema: T.StructType,
                flavour: str = "base") -> DataFrame:
-    text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    rd = spark.read.schema(text).option("header", True).option("mode", "PERMISSIVE")
+    names = header_of(spark, path)
+    if missing := [f.name for f in schema.fields if f.name not in names]:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(names)}")
+    rd = (spark.read.schema(T.StructType([T.StructField(n, T.StringType(), True) for n in names]))
+          .options(**QUOTING).option("header", True).option("mode", "PERMISSIVE"))
+    if ROW_NAMES not in names:
+        rd = rd.option("enforceSchema", False)  # every file of a folder must have this header
     if flavour == "readr":
         rd = rd.option("nullValue", "NA")
     else:
         # keep empty unquoted fields as "" (Spark would otherwise read them as NULL)
-        rd = rd.option("nullValue", "\u0000NA-never\u0000").option("emptyValue", "")
+        rd = rd.option("nullValue", NEVER).option("emptyValue", "")
     df = rd.csv(path)
     out = []
     for f in schema.fields:
-        c = F.col(f.name)
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
             # base: the only NULLs Spark yields here are unquoted empty fields -> ""
             c = F.nullif(F.coalesce(c, F.lit("")), F.lit("NA")) if flavour == "base" \
@@ -64,17 +82,17 @@ def with_row_number(df: DataFrame, order: Sequence, name: str = "row") -> DataFr
 
 def write_csv_r(df: DataFrame, path: str, partition_by: str | None = None,
                 mode: str = "overwrite", row_names_by: Sequence | None = None) -> None:
-    """``write_csv`` / ``write.csv``: header, NULL written as ``NA``.
+    """``write_csv`` / ``write.csv``: header, NULL written as ``NA``, quotes doubled.
 
     ``partition_by`` gives one folder per value (the per-population files of the
     reference) from a single distributed write instead of a driver loop.
-    ``row_names_by``: sort by these columns and add the 1..n ``row`` column that
-    ``write.csv`` writes by default (``with_row_number``).
+    ``row_names_by``: sort by these columns and put the 1..n row names that ``write.csv``
+    writes by default first, under an empty header (``with_row_number``).
     """
     if row_names_by:
-        df = with_row_number(df, row_names_by)
-    w = df.write.mode(mode).option("header", True).option("nullValue", "NA") \
-        .option("emptyValue", "")
+        df = with_row_number(df, row_names_by, "")
+    w = (df.write.mode(mode).options(**QUOTING).option("header", True).option("nullValue", "NA")
+         .option("emptyValue", ""))
     if partition_by:
         w = w.partitionBy(partition_by)
     w.csv(path)

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import pytest
+
 from broodline.sources.rcsv import read_csv_r, write_csv_r
 from broodline.sources.schemas import PAIRS_SCHEMA
 
@@ -38,6 +40,32 @@ def test_round_trip_and_partitioned_export(spark):
         {"pop=A", "pop=B"} <= set(os.listdir(os.path.join(out, "by_pop")))
 
 
+def test_columns_are_found_by_name(spark):
+    """Other order, row names, more columns than wanted; a missing one is an error."""
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("Species", T.StringType()), T.StructField("PopID", T.StringType()),
+                           T.StructField("BreedingSeason", T.IntegerType())])
+    p = _write('"",PopID,Species,BreedingSeason,More\n"1",HOG,PARMAJ,1999,x\n"2",NA,"a ""q"", b",2000,y\n')
+    assert [tuple(r) for r in read_csv_r(spark, p, schema).collect()] == [("PARMAJ", "HOG", 1999), ('a "q", b', None, 2000)]
+    with_names = T.StructType([T.StructField("X", T.LongType()), *schema.fields])
+    assert [r.X for r in read_csv_r(spark, p, with_names).collect()] == [1, 2]
+    with pytest.raises(ValueError, match="no column Absent"):
+        read_csv_r(spark, p, T.StructType([T.StructField("Absent", T.StringType())]))
+
+
+def test_quotes_and_row_names_are_written_as_r_writes_them(spark):
+    out = tempfile.mkdtemp(prefix="broodline-io-")
+    df = spark.createDataFrame([(2, 'a "q", b'), (1, None)], "k int, t string").coalesce(1)
+    write_csv_r(df, os.path.join(out, "t"), row_names_by=["k"])
+    lines = []
+    for f in sorted(os.listdir(os.path.join(out, "t"))):
+        if f.endswith(".csv"):
+            with open(os.path.join(out, "t", f)) as fh:
+                lines += fh.read().splitlines()
+    assert [x for x in lines if not x.endswith("k,t")] == ["1,1,NA", '2,2,"a ""q"", b"']
+    assert {x for x in lines if x.endswith("k,t")} <= {",k,t", '"",k,t'}
+
+
 def test_with_row_ord_follows_file_order(spark):
     from pyspark.sql import types as T
 
