@@ -73,6 +73,9 @@ TEMPLATES = {
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ],
+    "proprietary": [
+        "All rights reserved.",
+    ],
     "unlicense": [
         "This is free and unencumbered software released into the public domain.",
     ],
