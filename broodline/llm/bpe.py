@@ -156,6 +156,8 @@ def _encoded_words(rows: DataFrame, ranks: str) -> DataFrame:
         now = None
         for batch in batches:
             for row in batch.to_pylist():
+                if row["bucket"] is None:
+                    continue
                 if row["bucket"] != now:
                     known, now = {}, row["bucket"]
                 lengths, body = _unpack(row["body"])
@@ -178,21 +180,23 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, ids) for each row; ids are unsigned 32-bit integers, little-endian."""
     spark = docs.sparkSession
     dealt = _dealt(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = _encoded_words(dealt.where("bucket is not null").select("chunk", "bucket", "body")
-                           .sortWithinPartitions("bucket"), ranks)
-    chunks = dealt.where("bucket is null").select("key", "ids", "lengths", "slots", "body")
+    # both readers take all rows and columns, so the exchange is computed and stored once
+    words = _encoded_words(dealt.sortWithinPartitions("bucket"), ranks)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
 
     def assemble(chunk: pa.Table, parts: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
+        rows = [r for r in chunk.to_pylist() if r["bucket"] is None]
+        if not rows:
+            return out.empty_table()
         parts = parts.sort_by("bucket")
         opened = [_unpack(b.as_py()) for b in parts.column("body")]
         n = np.concatenate([x for x, _ in opened] or [np.empty(0, np.uint32)]).astype(np.int64) // 4
         flat = np.frombuffer(b"".join(x for _, x in opened), "<u4")
         names, bodies = [], []
-        for row in chunk.to_pylist():  # one row; none where a bucket's chunk is missing
+        for row in rows:  # one row: a chunk's name is its own
             slots = _unsqueeze(row["slots"])
             if len(n) != len(slots):
                 raise RuntimeError("a chunk's words are incomplete: its input gave other rows on a second read")
@@ -208,7 +212,7 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
                 first = end
         return pa.Table.from_arrays([pa.array(names, out.field(0).type), pa.array(bodies, pa.binary())], schema=out)
 
-    return chunks.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(assemble, schema)
+    return dealt.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
