@@ -1,9 +1,10 @@
 """Summarise the final (adaptive) physical plan of every registered query -> PLANS.md.
 
 usage: python tools/plan_report.py [sf_dir] > PLANS.md
-Each query is executed (collect) so AQE's final plan is reported: exchanges, join
+Each core query is executed (collect) and only AQE's final plan is counted: exchanges, join
 strategies (incl. AQE skew splits and runtime broadcasts), partial/final aggregates,
-windows, and what reached the parquet scans.
+windows, and what reached the parquet scans. The notes of the present PLANS.md (from the
+line "## Per-operator scale notes" on) are carried over.
 """
 
 from __future__ import annotations
@@ -27,28 +28,31 @@ def summarise(plan: str) -> dict:
         "python": count(r"Python|ArrowEval|InPandas"),
         "cartesian": count(r"CartesianProduct|BroadcastNestedLoopJoin"),
         "codegen_stages": len(set(re.findall(r"\*\((\d+)\)", plan))),
-        "single_partition": count(r"SinglePartition"),
+        "single_partition": count(r"SinglePartition"), "anti_joins": count(r"LeftAnti"),
     }
 
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from broodline.plans.queries import QUERIES
     from broodline.session import ensure_checkpoint_dir, get_spark
-    spark = get_spark(shuffle_partitions=16)
+    here = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
+    with open(here) as f:
+        notes = f.read().partition("## Per-operator scale notes")
+    spark = get_spark(master=os.environ.get("MASTER"), shuffle_partitions=16)
     ensure_checkpoint_dir(spark)
     print(f"# Physical plan summary ({os.path.basename(sf_dir)}, final AQE plans)\n")
-    print("Generated by `tools/plan_report.py`. Counts are per query over the final plan "
-          "below its last stage cut (stage checkpoints are scans of written data).\n")
+    print("Generated by `tools/plan_report.py`. Counts are per query over the final plan (what ran, "
+          "not the initial plan) below its last stage cut; staged tables are Parquet scans.\n")
     cols = ["exchanges", "broadcasts", "smj", "bhj", "shj", "skew_split", "partial_aggs",
-            "windows", "single_partition", "python", "cartesian", "codegen_stages"]
+            "windows", "single_partition", "python", "cartesian", "codegen_stages", "anti_joins"]
     print("| query | " + " | ".join(cols) + " |")
     print("|---" * (len(cols) + 1) + "|")
     scans = {}
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf_dir)
         df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         s = summarise(plan)
         print(f"| {name} | " + " | ".join(str(s[c]) for c in cols) + " |", flush=True)
         scans[name] = sorted(set(re.findall(r"ReadSchema: (struct<[^>]*>)", plan)))
@@ -56,6 +60,7 @@ def main():
     for name, rs in scans.items():
         for r in rs:
             print(f"* `{name}`: `{r}`")
+    print("\n" + "".join(notes[1:]), end="")
 
 
 if __name__ == "__main__":
