@@ -29,16 +29,12 @@ from pyspark.sql import functions as F
 SAMPLE = 2000
 WINDOW = 5
 # White space of the word definition, and the symbols that are counted.
-SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"
+SYMBOLS = "[#*$%&|<>]"
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
-def _count(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(_without(text, chars))).cast("long")
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def rules() -> dict[str, Column]:
@@ -49,8 +45,8 @@ def rules() -> dict[str, Column]:
         "duplicate_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
         "word_length": (chars < 2 * words) | (chars > 15 * words),
         "exclamations": 100 * _count(text, "!") > 20 * words,
-        "capitals": 100 * F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) > 40 * chars,
-        "letters": 100 * F.length(F.regexp_replace(text, r"[^\p{L}]", "")) < 50 * chars,
+        "capitals": 100 * _count(text, r"\p{Lu}") > 40 * chars,
+        "letters": 100 * (F.length(text) - _count(text, r"\P{L}")) < 50 * chars,
         "distinct_words": 100 * F.size(F.array_distinct("words")) < 10 * F.least(words, F.lit(1000)),
     }
 
@@ -58,16 +54,15 @@ def rules() -> dict[str, Column]:
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, text, words and the base counts of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spaced = F.translate("text", SPACE, " " * len(SPACE))
-    lines = F.filter(F.split("text", "\n"), lambda line: F.length(_without(line, SPACE)) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(SPACE.replace("[", "[^")))
     read = (docs.select("doc_id", text.alias("text"))
-            .select("*", F.filter(F.split(spaced, " "), lambda w: w != "").alias("words"), lines.alias("lines")))
+            .select("*", F.filter(F.split("text", f"{SPACE}+"), lambda w: w != "").alias("words"), lines.alias("lines")))
     n = F.size("words")
     windows = F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1),
                                              lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
     made = read.select(
         "doc_id", "text", "words", n.cast("long").alias("n_words"),
-        F.length(_without(F.col("text"), SPACE)).cast("long").alias("word_chars"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
         _count(F.col("text"), SYMBOLS).alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"))
