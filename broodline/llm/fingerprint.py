@@ -22,7 +22,7 @@ part (the last receives the first of all), and is read in order, one document ah
 
 Defined results: a null text counts as empty. A text of fewer than W bytes has itself as its
 only feature, an empty one has none. Two texts without features have likeness 1, one
-without and one with features 0. Rows without doc_id are left out. Rows that repeat a
+without and one with features 0. Rows without doc_id (a whole number) are left out. Rows that repeat a
 doc_id follow each other by text. A single document is its own successor. Equal texts have
 equal fingerprints. Empty tables give no rows; other columns are ignored.
 """
@@ -31,6 +31,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,13 +250,18 @@ def with_successor(docs: DataFrame) -> DataFrame:
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.percentile_approx("doc_id", [i / parts for i in range(parts)], 20 * parts), F.min("doc_id")).first()
     starts = sorted({*(cuts[0] or []), *([cuts[1]] if cuts[1] is not None else [])})  # at most `parts` ids
-    own = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("doc_id"))) - 1 if starts else F.lit(0)
-    placed = rows.withColumn("part", own)
-    first = F.col("doc_id").isin(starts) if starts else F.lit(False)
-    previous = F.pmod(F.col("part") - 1, F.lit(max(len(starts), 1)))
-    sent = F.when(first, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")),
-                                 F.struct(previous.alias("part"), F.lit(True).alias("ahead")))
-                  ).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead"))))
+    # the part of an id is found in two steps, among about sqrt(parts) values each
+    side = math.isqrt(len(starts)) + 1
+    table = [starts[i : i + side] for i in range(0, len(starts), side)]
+    upto = lambda values: F.size(F.filter(values, lambda s: s <= F.col("doc_id"))) - 1
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    placed = (rows.withColumn("row", upto(constant([t[0] for t in table], "array<bigint>")))
+              .withColumn("near", F.get(constant(table, "array<array<bigint>>"), F.col("row")))
+              .withColumn("part", F.col("row") * side + upto(F.col("near"))))
+    to = lambda part, ahead: F.struct(part.alias("part"), F.lit(ahead).alias("ahead"))
+    own, previous = F.col("part"), F.pmod(F.col("part") - 1, F.lit(max(len(starts), 1)))
+    first = F.array_contains("near", F.col("doc_id").cast("long"))
+    sent = F.when(first, F.array(to(own, False), to(previous, True))).otherwise(F.array(to(own, False)))
     return (placed.select(F.explode(sent).alias("to"), "doc_id", "text").select("to.part", "to.ahead", "doc_id", "text")
             .repartition("part").sortWithinPartitions("part", "ahead", "doc_id", "text"))
 
