@@ -42,7 +42,7 @@ from broodline.llm.common import map_batches
 from broodline.llm.packing import read_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CHUNK = 12_000_000  # characters of a chunk
+CHUNK = 6_000_000  # characters of a chunk
 SLICE = 400_000  # words that are expanded together
 #: The pattern's white space is Unicode's White_Space, as in the library's own matcher.
 _WORDS = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}")
