@@ -63,6 +63,8 @@ def test_odd_inputs(docs, clashing, empty, corpus):
     nothing = toxicity.train(docs, labels.limit(0))
     assert {(r.severity, r.p_toxic) for r in toxicity.severity(docs, nothing).collect()} == {(0.0, 0.0)}
     assert toxicity.train(empty, labels).thresholds == ()
+    few = toxicity.train(docs, docs.sparkSession.createDataFrame([(6, 1, 1), (9, 1, 0), (12, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert few.weights == {} and len({r.p_toxic for r in toxicity.severity(docs, few).collect()}) == 1
     model = toxicity.SeverityModel({"one": 3.0}, (1.0, 2.0))
     got = {r.doc_id: r.p_toxic for r in toxicity.severity(docs, model).collect()}
     assert got[4] == got[5] > 0.8 and got[1] == got[2] < 0.5
