@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 U64 = np.uint64
+ROWS = 1000  # rows of a batch that are turned into Python objects together
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +40,8 @@ def seeds(n: int, start: int = 1) -> np.ndarray:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[..., list]], schema: T.StructType) -> DataFrame:
-    """``make()`` runs once in a task and returns a function from the Python columns of a
-    batch (lists, in the order of ``df.columns``) to the output columns."""
+    """``make()`` runs once in a task and returns a function from the Arrow columns of some
+    rows (``ROWS`` at most, in the order of ``df.columns``) to the output columns."""
     names = schema.fieldNames()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,10 +49,12 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[..., list]], schema:
 
         out, fn = to_arrow_schema(schema), make()
         for batch in batches:
-            columns = fn(*batch.columns)
-            arrays = [c if isinstance(c, pa.Array) else pa.array(c, out.field(n).type)
-                      for n, c in zip(names, columns)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=out)
+            for at in range(0, batch.num_rows, ROWS):
+                columns = fn(*batch.slice(at, ROWS).columns)
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, out.field(n).type)
+                          for n, c in zip(names, columns)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -35,6 +35,7 @@ from broodline.llm.common import U64, add_columns, map_batches, mix64, seeds
 DIM = 1024
 UNKNOWN = "und"
 GROUP = 64  # documents whose trigrams are bound together
+PART = 2048  # trigrams whose vectors are held together
 _letters: list[np.ndarray] = []
 
 
@@ -78,7 +79,10 @@ def bundles(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     kind = np.float32 if n.sum() < 1 << 23 else np.float64
     counts = np.zeros((len(found), len(codes)), kind)
     counts[np.repeat(np.arange(len(found)), [len(c) for c, _ in found]), at] = n
-    return (counts @ trigram_vectors(codes).astype(kind)).astype(np.float64)
+    total = np.zeros((len(found), DIM))
+    for a in range(0, len(codes), PART):  # exact sums, in any order
+        total += counts[:, a : a + PART] @ trigram_vectors(codes[a : a + PART]).astype(kind)
+    return total
 
 
 @dataclass(frozen=True)
@@ -132,7 +136,7 @@ def train(rows: DataFrame) -> Profiles:
             for lang in names:
                 at = np.flatnonzero(langs == lang)
                 total.append(sum((counts[p] @ trigram_vectors(codes[p]).astype(np.int64)
-                                  for p in np.array_split(at, len(at) // 2048 + 1)), np.zeros(DIM, np.int64)))
+                                  for p in np.array_split(at, len(at) // PART + 1)), np.zeros(DIM, np.int64)))
             return [names, [v.tolist() for v in total]]
 
         return apply
