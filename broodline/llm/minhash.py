@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broodline.llm.common import U64, map_batches, mix64, seeds
+from broodline.llm.common import U64, fresh, map_batches, mix64, seeds
 from broodline.llm.components import connected_components
 from broodline.session import materialize, stage
 
@@ -49,6 +49,7 @@ HASHES = 4 * M
 #: Of HASHES values, how many must agree before a pair is compared in full.
 AGREE = 14
 BLOCK = 4096  # documents in one side of a block, in expectation
+MARKS = 1 << 25  # bits that tell which documents may be needed again
 ELEMENTS = 2_000_000  # shingles in one side of a block, in expectation
 
 _ADD, _MULTIPLY = seeds(HASHES)[:, None], seeds(HASHES, 1000)[:, None] | U64(1)
@@ -103,6 +104,28 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             .select("doc_id", "d.n_shingles", "d.digest", "d.sig"))
 
 
+def marked(df: DataFrame, column: str, ids: DataFrame, mark: str) -> DataFrame:
+    """``df`` with a boolean ``mark``: false only where ``column`` is surely not in ``ids``.
+
+    The ids are hashed to ``MARKS`` bits, which are broadcast as at most MARKS / 64 words, a
+    fixed bound. More ids than bits only means more rows that an exact join must look at.
+    """
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(MARKS))
+    words = (ids.select(F.shiftright(place, 6).alias("_word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+             .groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_bits")))
+    own, word, bits = F.pmod(F.xxhash64(column), F.lit(MARKS)), fresh(df, "_word"), fresh(df, "_bits")
+    words = words.toDF(word, bits)
+    hit = F.col(bits).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{column}`), {MARKS}) & 63 as int))")) != 0
+    return (df.withColumn(word, F.shiftright(own, 6)).join(F.broadcast(words), word, "left")
+            .withColumn(mark, F.coalesce(hit, F.lit(False))).drop(word, bits))
+
+
+def likely(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be in ``ids``, without moving the others."""
+    mark = fresh(df, "_likely")
+    return marked(df, column, ids, mark).where(mark).drop(mark)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(id, shingles) of the ``wanted``(id, digest) documents."""
 
@@ -122,7 +145,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     schema = T.StructType([
         T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("same", T.BooleanType()),
         T.StructField("shingles", T.ArrayType(T.LongType()))])
-    texts = (docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
+    texts = (likely(docs.select(F.col("doc_id").alias("id"), "text"), "id", wanted.select("id")).join(wanted, "id")
              .select("id", "digest", "text"))
     return map_batches(texts, make, schema).where("same").select("id", "shingles")
 
@@ -263,7 +286,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document with the
-    smallest doc_id stays, once. Rows without doc_id stay."""
-    keep = near_duplicates(docs, width, percent).where("kept").select("doc_id")
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    smallest doc_id stays, once. Rows without doc_id stay.
+
+    Only rows whose id may be dropped or repeated are moved to decide on them.
+    """
+    found = stage(near_duplicates(docs, width, percent).select("doc_id", "kept"))
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    mark = fresh(docs, "_affected")
+    rows = marked(docs, "doc_id", found.where("not kept").select("doc_id").union(repeated), mark)
+    rows = rows.withColumn(mark, F.col(mark) & F.col("doc_id").isNotNull())
+    affected = (rows.where(mark).drop(mark).join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
+                .dropDuplicates(["doc_id"]))
+    return rows.where(~F.col(mark)).drop(mark).select(docs.columns).unionByName(affected.select(docs.columns))

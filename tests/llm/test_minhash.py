@@ -91,7 +91,19 @@ def test_long_chains_become_one_component(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
 
 
-def test_deduplicated_keeps_one_of_each_group(docs, texts):
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_marks_miss_no_id(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "MARKS", bits)
+    df = spark.range(3000).withColumnRenamed("id", "_word")
+    ids = spark.range(0, 3000, 7).union(spark.createDataFrame([(None,)], "id long"))
+    got = {r[0] for r in minhash.likely(df, "_word", ids).collect()}
+    assert set(range(0, 3000, 7)) <= got and (bits == 64 or len(got) < 450)
+    assert minhash.likely(df, "_word", ids.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_deduplicated_keeps_one_of_each_group(docs, texts, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "MARKS", bits)
     got = minhash.deduplicated(docs, 5)
     assert got.columns == docs.columns
     ids = sorted(r.doc_id for r in got.collect() if r.doc_id is not None)
