@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from broodline.functions.nulls import join_null_safe
 from broodline.plans import queries as Q
 
 from .conftest import SF_SMALL
@@ -17,14 +18,14 @@ def test_one_code_per_bird_and_observed_year(spark):
     assert codes.groupBy("pop", "female", "year").count().where("count > 1").count() == 0
     years = fp.select("pop", "year").distinct()
     birds = fp.where(F.col("female").isNotNull()).select("pop", "female").distinct()
-    assert codes.count() == birds.join(years, "pop").count()
+    assert codes.count() == join_null_safe(birds, years, ["pop"], "inner").count()
 
 
 def test_captured_years_code_1_to_5_others_0_or_6(spark):
     codes = Q.q_event_codes_female(spark, SF_SMALL)
     fp = Q.final_pairs_tie(spark, SF_SMALL).where(F.col("female").isNotNull()) \
         .select("pop", "female", "year").distinct().withColumn("cap", F.lit(True))
-    j = codes.join(fp, ["pop", "female", "year"], "left")
+    j = join_null_safe(codes, fp, ["pop", "female", "year"])
     bad_cap = j.where(F.col("cap") & ~F.col("event_code").isin("1", "2", "3", "4", "5")).count()
     bad_unc = j.where(F.col("cap").isNull() & ~F.col("event_code").isin("0", "6")).count()
     assert bad_cap == 0 and bad_unc == 0

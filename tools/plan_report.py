@@ -3,8 +3,8 @@
 usage: python tools/plan_report.py [sf_dir] > PLANS.md
 Each core query is executed (collect) and only AQE's final plan is counted: exchanges, join
 strategies (incl. AQE skew splits and runtime broadcasts), partial/final aggregates,
-windows, and what reached the parquet scans. The notes of the present PLANS.md (from the
-line "## Per-operator scale notes" on) are carried over.
+windows, and what reached the parquet scans. The notes of the present PLANS.md ("How to read
+it", and all from the line "## Per-operator scale notes" on) are carried over.
 """
 
 from __future__ import annotations
@@ -38,12 +38,15 @@ def main():
     from broodline.session import ensure_checkpoint_dir, get_spark
     here = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(here) as f:
-        notes = f.read().partition("## Per-operator scale notes")
+        text = f.read()
+    notes = text.partition("## Per-operator scale notes")
+    reading = "How to read it:" + text.partition("How to read it:")[2].partition("| query |")[0]
     spark = get_spark(master=os.environ.get("MASTER"), shuffle_partitions=16)
     ensure_checkpoint_dir(spark)
     print(f"# Physical plan summary ({os.path.basename(sf_dir)}, final AQE plans)\n")
     print("Generated by `tools/plan_report.py`. Counts are per query over the final plan (what ran, "
           "not the initial plan) below its last stage cut; staged tables are Parquet scans.\n")
+    print(reading, end="")
     cols = ["exchanges", "broadcasts", "smj", "bhj", "shj", "skew_split", "partial_aggs",
             "windows", "single_partition", "python", "cartesian", "codegen_stages", "anti_joins"]
     print("| query | " + " | ".join(cols) + " |")
