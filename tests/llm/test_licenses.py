@@ -40,3 +40,33 @@ def test_matches_brute_force(spark, clashing, empty):
 def test_plan_has_no_python_and_no_shuffle(docs):
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Join", plan)
+
+
+def wrapped(text, width):
+    words, lines = text.split(), [""]
+    for w in words:
+        if len(lines[-1]) + len(w) > width:
+            lines.append("")
+        lines[-1] += w + " "
+    return "\n".join(lines)
+
+
+def test_notices_and_bodies_across_lines_and_in_sentences(spark):
+    mit, isc, two, three = (licenses.BODIES[n][0] for n in ("mit", "isc", "bsd-2-clause", "bsd-3-clause"))
+    gnu = licenses.BODIES["gpl-3.0"]
+    rows = {
+        1: (mit, 1, "mit"), 2: (wrapped(mit, 70), 1, "mit"), 3: ("Copyright A. B.\n\n" + wrapped(isc, 70), 1, "isc"),
+        4: (wrapped(two, 70), 1, "bsd-2-clause"), 5: (wrapped(three, 60), 1, "bsd-3-clause"),
+        6: (wrapped(" ".join(gnu), 70), 2, "gpl-3.0"),
+        7: ("This tool is released under the MIT License.", 1, "mit"),
+        8: ("The photographs in this article are licensed under CC BY-SA 4.0.", 1, "cc-by-sa-4.0"),
+        9: ("Some prose. This work is licensed\nunder the GNU General Public\nLicense, version 3. More prose.", 1, "gpl-3.0"),
+        10: (f"Released under the MIT License.\n{wrapped(mit, 70)}\nAll rights\nreserved.", 3, "mit,proprietary"),
+        11: ("Permission is hereby granted to any person who asks, and the software is free of charge.", 0, ""),
+        12: ("of the software " * 3000 + wrapped(mit, 50) + " under the terms" * 3000, 1, "mit"),
+        13: ("Released under the MIT\nLicense. " * 200, 200, "mit"),
+    }
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, *_) in rows.items()], "doc_id long, text string"))
+    for r in got.collect():
+        assert (r.n_matches, r.licences) == rows[r.doc_id][1:], r
+        assert r.dice == (1.0 if r.n_matches else 0.0), r
