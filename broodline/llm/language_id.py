@@ -35,6 +35,8 @@ from broodline.llm.common import U64, add_columns, map_batches, mix64, seeds
 DIM = 1024
 UNKNOWN = "und"
 GROUP = 64  # documents whose trigrams are bound together
+NOISE = 4 / DIM**0.5  # a text's largest cosine is above, if it is in a learned language
+ENOUGH = 32  # trigrams of a text from which on that can be told
 PART = 2048  # trigrams whose vectors are held together
 _letters: list[np.ndarray] = []
 
@@ -91,9 +93,13 @@ class Profiles:
     prototypes: np.ndarray  # a unit vector for each language
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return self.measure(texts)[:2]
+
+    def measure(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """Language, score and number of trigrams of each text."""
+        names, scores, sizes = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
         if not self.languages:
-            return names, scores
+            return names, scores, sizes
         for start in range(0, len(texts), GROUP):
             found = [trigrams(t) for t in texts[start : start + GROUP]]
             rows = [i for i, (c, _) in enumerate(found) if len(c)]
@@ -105,7 +111,8 @@ class Profiles:
             for i, best, row in zip(rows, cosine.argmax(axis=1), cosine):
                 names[start + i] = self.languages[best]
                 scores[start + i] = min(1.0, max(0.0, float(row[best])))
-        return names, scores
+                sizes[start + i] = int(found[i][1].sum())
+        return names, scores, sizes
 
 
 def train(rows: DataFrame) -> Profiles:
@@ -157,16 +164,20 @@ def train(rows: DataFrame) -> Profiles:
     return Profiles(names, matrix / np.maximum(np.linalg.norm(matrix, axis=1), 1e-9)[:, None])
 
 
-def identify(docs: DataFrame, profiles: Profiles, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language of ``text`` and its score."""
+def identify(docs: DataFrame, profiles: Profiles, lang: str = "lang_pred", score: str = "score",
+             size: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language of ``text``, its score and, if named, the number
+    of its trigrams."""
 
     def make():
         def apply(texts):
-            return list(profiles.predict(texts.to_pylist()))
+            return list(profiles.measure(texts.to_pylist()))[: len(fields)]
 
         return apply
 
-    return add_columns(docs, ["text"], make, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    fields = [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]
+    fields += [T.StructField(size, T.LongType())] if size else []
+    return add_columns(docs, ["text"], make, fields)
 
 
 def held_out(doc_id) -> F.Column:

@@ -21,11 +21,13 @@ from broodline.session import ensure_checkpoint_dir
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without any language (null or no letter) and texts that resemble none of
-    the learned languages (no positive cosine). Short texts have small cosines and stay."""
+    the learned languages (largest cosine within the noise). Texts with too few trigrams to
+    tell stay."""
     profiles = language_id.train_on_documents(docs)
-    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
-    found = language_id.identify(docs, profiles, lang, score)
-    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) > 0)).select(docs.columns)
+    lang, score, size = fresh(docs, "lang_pred"), fresh(docs, "score"), fresh(docs, "n_trigrams")
+    found = language_id.identify(docs, profiles, lang, score, size)
+    known = (F.col(score) > language_id.NOISE) | (F.col(size) < language_id.ENOUGH)
+    return found.where((F.col(lang) != language_id.UNKNOWN) & known).select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,19 @@ def test_empty_documents(spark, corpus, tmp_path):
     spark.createDataFrame([], DOC_SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_unlearned_scripts_go_and_short_clean_texts_stay(spark):
+    r = random.Random(5)
+    rows = [(i, prose(i, 80), "en") for i in range(60)]
+
+    def noise(low, high):
+        return "".join(chr(r.randrange(low, high)) if r.random() > 0.15 else " " for _ in range(150))
+
+    rows += [(1000 + i, noise(*span), None) for i, span in enumerate([(0x4E00, 0x9FA5), (0x430, 0x450), (97, 123)] * 20)]
+    words = sorted({w for _, t, _ in rows[:60] for w in t.split()})
+    rows += [(2000 + i, w, None) for i, w in enumerate([*words, "Kiwi"])]
+    docs = spark.createDataFrame([(*x, None, None) for x in rows], DOC_SCHEMA)
+    kept = {x.doc_id for x in corpus_pipeline.keep_known_language(spark, docs, "").collect()}
+    assert {i for i, *_ in rows if i < 1000 or i >= 2000} <= kept
+    assert sum(1000 <= i < 2000 for i in kept) <= 1
