@@ -10,7 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broodline.llm import bpe, chat, fingerprint, language_id, licenses, minhash, packing, pii, quality, toxicity
+from broodline.llm import (
+    bpe, chat, exact_dedup, filter_audit, fingerprint, language_id, licenses, minhash, packing, pii, prefix_trie, quality,
+    toxicity,
+)
 from broodline.llm.common import documents
 from broodline.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
@@ -63,9 +66,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_minhash_near_dedup, op2_language_id, op3_pii, op4_packing, op5_quality_rules, op6_fingerprint,
-        op7_toxicity, op8_chat_format, op9_license_scan, op10_byte_bpe,
+        op7_toxicity, op8_chat_format, op9_license_scan, op10_byte_bpe, op11_filter_audit, op12_exact_dedup, op13_prefix_trie,
     )
 }
