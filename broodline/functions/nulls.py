@@ -48,9 +48,29 @@ def safe_div(a, b) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
+def _halves(x):
+    """Two doubles of at most 27 bits each whose sum is ``x`` exactly."""
+    big = x * 134217729.0  # 2 ** 27 + 1
+    high = big - (big - x)
+    return high, x - high
+
+
 def r_round(c, digits: int = 2) -> Column:
-    """R's ``round`` rounds half to even."""
-    return F.bround(_c(c), digits)
+    """R's ``round``: the nearest number of ``digits`` decimals to the *stored* double, a tie
+    going to the even digit. 0.15 is stored below its half, so it rounds to 0.1; 0.25 is a tie.
+
+    A scaled number that looks like a half is one only if the product was exact: the error of
+    the product, which is a double too, tells on which side of the half the number lies.
+    """
+    x, scale = _c(c).cast("double"), 10.0 ** digits
+    scaled = x * scale
+    (x_high, x_low), (s_high, s_low) = _halves(x), _halves(scale)
+    error = ((x_high * s_high - scaled) + x_high * s_low + x_low * s_high) + x_low * s_low
+    even = F.rint(scaled)
+    half = F.abs(scaled - even) == 0.5
+    whole = F.when(half & (error > 0), scaled + 0.5).when(half & (error < 0), scaled - 0.5).otherwise(even)
+    # from 2 ** 52 on a double has no decimals to round
+    return F.when(F.abs(scaled) < 2.0 ** 52, whole / scale + 0.0).otherwise(x)
 
 
 def asc_nl(*cols) -> list[Column]:

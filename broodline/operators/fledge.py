@@ -41,6 +41,15 @@ def fledge_input(brood: DataFrame, species: str = SPECIES) -> DataFrame:
         .drop("ExperimentID")
 
 
+def lay_days(brood: DataFrame, species: str = SPECIES) -> DataFrame:
+    """The nests of the index with the day of the year of the first egg (1 to 366; NULL where the
+    date is unknown) and the fledglings as a number."""
+    b = coalesce_versions(brood, VERSIONS, VERSION_TYPES)
+    b = b.where((F.col("Species") == species) & recode_experiment("ExperimentID").isNull())
+    return b.select("row_ord", *PS, "ClutchType_calculated", F.dayofyear("LayDate_observed").alias("lay_day"),
+                    F.col("NumberFledged").cast("double").alias("fledged"))
+
+
 def fledge_metrics(inp: DataFrame, literal_prop_second: bool = True) -> DataFrame:
     """Per (PopID, season): clutches, clutch-type averages, female- and nest-based
     fledgling averages and their ratio; per population the mean ratio (2 dp).

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broodline.functions.nulls import first_last_by, join_null_safe
+from broodline.session import stage
 
 ROLES = {
     "female": ("male", "f_pair_num"),
@@ -134,31 +135,40 @@ def write_histories_per_population(codes: DataFrame, path: str) -> None:
     write_csv_r(codes, path, partition_by="pop")
 
 
-def write_wide_per_population(codes: DataFrame, focal: str, path: str) -> list[tuple[str, list[int | None]]]:
-    """Wide histories, one folder per population, each with the columns of that
-    population's own years and with its ``pop`` column.
+BIRDS_IN_FILE = 200_000
 
-    Populations that were observed in the same years share one distributed write, so there
-    are as many writes as different sets of years. Returns (folder, years) of each write;
-    below a folder are ``population=<code>`` folders.
+
+def write_wide_per_population(codes: DataFrame, focal: str, path: str, birds_in_file: int = BIRDS_IN_FILE) -> None:
+    """Wide histories as CSV, one folder per population, each with the columns of that
+    population's own years: ``population=<code>/part=<k>/`` holds one file with header.
+
+    One job, however many different sets of years there are: a bird's codes become one line,
+    and each file's header is a row that sorts before its lines. A population is dealt into
+    parts of about ``birds_in_file`` birds, so a large one is written by many tasks. Files are
+    committed by Spark's own writer, so an attempt that is run again leaves no second copy.
+    ``broodline.sources.rcsv.read_csv_each`` reads them.
     """
-    from broodline.sources.rcsv import write_csv_r
-    seen = codes.select("pop", "year").distinct().collect()  # populations x calendar years
-    years_of: dict = {}
-    for pop, year in seen:
-        years_of.setdefault(pop, set()).add(year)
-    groups: dict = {}
-    for pop, years in years_of.items():
-        groups.setdefault((*sorted(y for y in years if y is not None), *([None] * (None in years))), []).append(pop)
-    out = []
-    for k, (years, pops) in enumerate(sorted(groups.items(), key=str)):
-        own = F.col("pop").isin([p for p in pops if p is not None])
-        own = F.coalesce(own, F.lit(False)) | (F.col("pop").isNull() if None in pops else F.lit(False))
-        folder = f"{path.rstrip('/')}/years-{k}"
-        wide = wide_history(codes.where(own), focal, list(years))
-        write_csv_r(wide.withColumn("population", F.col("pop")), folder, partition_by="population")
-        out.append((folder, list(years)))
-    return out
+    from broodline.functions.skew import join_by_share
+    from broodline.sources.rcsv import csv_line
+    year = F.coalesce(F.col("year").cast("string"), F.lit(NO_YEAR))
+    # a bird has a code for each year of its population, so its codes are in the header's order
+    at = F.struct(F.col("year").isNull().alias("_null"), F.col("year").alias("_year"), "event_code")
+    known = codes.withColumn("_pop", F.coalesce(F.concat(F.lit("p"), "pop"), F.lit("unknown")))
+    birds = stage(known.groupBy("_pop", "pop", focal, "multi_partner").agg(F.sort_array(F.collect_list(at)).alias("_codes")))
+    years = known.groupBy("_pop", "pop", "year").agg(F.lit(1)).groupBy("_pop", "pop").agg(F.transform(F.sort_array(
+        F.collect_list(F.struct(F.col("year").isNull().alias("_null"), "year", year.alias("_name")))), lambda y: y["_name"]).alias("_years"))
+    sizes = birds.groupBy("_pop").agg(F.count(F.lit(1)).alias("_n"))
+    pops = stage(years.join(sizes, "_pop").withColumn("_parts", F.ceil(F.col("_n") / birds_in_file).cast("int")))
+    total = pops.agg(F.sum("_n")).first()[0] or 0
+    parts = pops.select("_pop", "_n", "_parts")
+    names = F.concat(F.array(F.lit("pop"), F.lit(focal), F.lit("multi_partner")), F.col("_years"))
+    header = pops.select("pop", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(0).alias("_at"), csv_line(names).alias("value"))
+    fields = F.concat(F.array("pop", focal, F.col("multi_partner").cast("string")), F.transform("_codes", lambda c: c["event_code"]))
+    lines = join_by_share(birds, parts, "_pop", "_n", total).select(
+        "pop", F.pmod(F.xxhash64(focal), F.col("_parts")).cast("int").alias("part"), F.lit(1).alias("_at"), csv_line(fields).alias("value"))
+    (header.unionByName(lines).withColumnRenamed("pop", "population").repartition("population", "part")
+     .sortWithinPartitions("population", "part", "_at", "value").select("value", "population", "part")
+     .write.mode("overwrite").partitionBy("population", "part").text(path))
 
 
 def pair_diagnostics(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broodline.functions.nulls import join_null_safe, safe_div
+from broodline.functions.skew import join_by_share
+from broodline.session import stage
 
 
 def ols_by_group(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
@@ -59,6 +61,37 @@ def spearman_by_group(df: DataFrame, keys: Sequence[str], x: str, y: str) -> Dat
     return r.groupBy(*keys).agg(pearson("_rx", "_ry").alias("spearman"))
 
 
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the rank of ``value`` within ``keys``, ties averaged, as column ``out``; the
+    rank of an unknown value is NULL. Unknown keys are groups of their own.
+
+    For groups of any size: the distinct values are counted, sorted over all tasks by (keys,
+    value) and summed up within each partition's part of a group; the sums of a group's parts,
+    one row for each partition, give the parts their first rank. A value's rank reaches its
+    rows by ``join_by_share``, so neither a hot group nor a hot value meets in one task.
+    """
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = stage(counts.orderBy(*keys, value).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size"))
+    parts = parts.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
+    ranked = join_null_safe(ordered.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))), parts, [*keys, "_part"], "inner")
+    cell = F.struct(*keys, value)
+    ranks = stage(ranked.select(cell.alias("_cell"), "_n", (F.col("_first") + F.col("_inside") + (F.col("_n") + 1) / 2.0).alias(out)))
+    total = ranks.agg(F.sum("_n")).first()[0] or 0
+    rows = df.withColumn("_cell", F.when(F.col(value).isNotNull(), cell))
+    return join_by_share(rows, ranks, "_cell", "_n", total).drop("_cell")
+
+
+def spearman_of_large_groups(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """``spearman_by_group`` for groups of any size, with the number of complete rows ``n``."""
+    c = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    r = average_ranks(average_ranks(c, keys, x, "_rx"), keys, y, "_ry")
+    return r.groupBy(*keys).agg(pearson("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
 def zscore(c: str, part: Sequence[str]) -> tuple[Column, Column, Column]:
     """(mean, sample sd, z) of ``c`` within ``part``; z is NULL when sd is NULL or 0."""
     w = Window.partitionBy(*part)

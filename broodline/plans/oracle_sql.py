@@ -8,6 +8,7 @@ aggregate-first Spark plans against the literal semantics.
 
 from __future__ import annotations
 
+from broodline.operators.linear import EXACT_T, t_quantile
 from broodline.sources.adapters import BROOD_VIEW_SQL, CAPTURE_VIEW_SQL
 
 # ---------------------------------------------------------------------------
@@ -329,6 +330,24 @@ rep AS (
 _NA_ELEM_TERM = """+ max(case when ClutchType_calculated is null
                   or (ClutchType_calculated = 'second' and LocationID is null) then 1 else 0 end) over ps"""
 
+
+
+def _r_round(x: str, digits: int) -> str:
+    """The nearest decimal to the stored double, ties to even: ``x`` scaled as the exact sum of
+    two products (of its leading 24 bits, and of the rest), whose rounding error then decides
+    what looks like a half."""
+    scale = 10 ** digits
+    parts = f"list_transform([cast({x} as double)], lambda x: {{{{'h': cast(cast(x as float) as double) * {scale}, 'l': (x - cast(cast(x as float) as double)) * {scale}}}}})"
+    error = "(s.l - ((s.h + s.l) - s.h))"
+    near = "round_even(s.h + s.l, 0)"
+    half = f"abs(s.h + s.l - {near}) = 0.5"
+    return (f"list_transform({parts}, lambda s: case when {half} and {error} > 0 then s.h + s.l + 0.5"
+            f" when {half} and {error} < 0 then s.h + s.l - 0.5 else {near} end / {scale} + 0.0)[1]").replace("{{", "{").replace("}}", "}")
+
+
+_COR = _r_round("""case when regr_sxx(ry, rx) > 0 and regr_syy(ry, rx) > 0
+      then regr_sxy(ry, rx) / sqrt(regr_sxx(ry, rx) * regr_syy(ry, rx)) end""", 2)
+
 FLEDGE_CTES_T = f"""
 brood AS ({BROOD_VIEW_SQL}),
 fin AS (
@@ -359,7 +378,7 @@ fm AS (
   from fm0 group by PopID, BreedingSeason
 ),
 metrics AS (
-  select *, round_even(avg(fledge_ratio) over (partition by PopID), 2) as fledge_ratio_avg
+  select *, {_r_round("avg(fledge_ratio) over (partition by PopID)", 2)} as fledge_ratio_avg
   from (select *, females / clutches as fem_clutch_ratio,
           case when fledge_nest_avg = 0 then null else fledge_fem_avg / fledge_nest_avg end as fledge_ratio
         from fm) x
@@ -394,8 +413,7 @@ ranked AS (
 ),
 agree AS (
   select PopID,
-    round_even(case when regr_sxx(ry, rx) > 0 and regr_syy(ry, rx) > 0
-      then regr_sxy(ry, rx) / sqrt(regr_sxx(ry, rx) * regr_syy(ry, rx)) end, 2) as cor,
+    {_COR} as cor,
     count(distinct BreedingSeason) + max(case when BreedingSeason is null then 1 else 0 end) as count
   from ranked group by PopID
 ),
@@ -536,6 +554,126 @@ OTHER_QUERIES["csv_pair_table"] = _with(_PAIRS) + \
     f"select * replace (concat('\"', nest, '\", \"x\"\"') as nest) from (select {_FINAL10} from final where nest is not null)" \
     f" union all select {_FINAL10} from final where nest is null"
 OTHER_QUERIES["csv_histories_female"] = PAIR_QUERIES["event_codes_female"]
+_REMARKS = f"""
+select row_ord, PopID, case row_ord % 8 when 0 then null when 1 then '' when 2 then 'NA'
+  when 3 then 'ring lost' || chr(10) || '"second" visit, box ' || LocationID
+  when 4 then '"' || chr(10) || chr(10) || LocationID || '",' || chr(10)
+  when 5 then chr(13) || chr(10) || LocationID || chr(13) || chr(10) || ','
+  when 6 then '""' || LocationID else 'box ' || LocationID end as remark
+from ({BROOD_VIEW_SQL}) b"""
+# read.csv takes NA as missing, read_csv also the empty field
+OTHER_QUERIES["csv_remarks"] = f"""
+select 'base' as reader, row_ord, PopID, nullif(remark, 'NA') as remark from ({_REMARKS}) t
+union all select 'readr', row_ord, PopID, case when remark not in ('NA', '') then remark end from ({_REMARKS}) t"""
+
+OTHER_QUERIES["rounded_means"] = f"""
+with m as (
+  select PopID, BreedingSeason, LocationID, avg(cast(NumberFledged_observed as double)) as mean
+  from ({BROOD_VIEW_SQL}) b group by PopID, BreedingSeason, LocationID
+)
+select PopID, BreedingSeason, LocationID, {_r_round("mean", 1)} as one, {_r_round("mean", 2)} as two,
+  {_r_round("mean / 2", 2)} as half, {_r_round("mean * 0.1::double", 2)} as tenth
+from m"""
+
+_LAY = f"""brood AS ({BROOD_VIEW_SQL}),
+lay AS (
+  select row_ord, PopID, BreedingSeason, ClutchType_calculated, dayofyear(LayDate_observed) as lay_day,
+    cast(coalesce(NumberFledged_observed, NumberFledged) as double) as fledged
+  from brood where Species = 'PARMAJ' and ({_RECODE}) is null
+),
+"""
+OTHER_QUERIES["lay_day_rank_correlation"] = _with(_LAY + """
+ranked AS (
+  select PopID,
+    rank() over (partition by PopID order by lay_day) + (count(*) over (partition by PopID, lay_day) - 1) / 2.0 as rx,
+    rank() over (partition by PopID order by fledged) + (count(*) over (partition by PopID, fledged) - 1) / 2.0 as ry
+  from lay where lay_day is not null and fledged is not null
+),
+""") + """
+select PopID, round(case when regr_sxx(ry, rx) > 0 and regr_syy(ry, rx) > 0
+    then regr_sxy(ry, rx) / sqrt(regr_sxx(ry, rx) * regr_syy(ry, rx)) end, 6) as spearman, count(*) as n
+from ranked group by PopID"""
+
+# two predictors in closed form
+_MODEL = _LAY + """
+co AS (
+  select PopID, count(*) as n, avg(lay_day) as m1, avg(BreedingSeason) as m2, avg(fledged) as my,
+    var_pop(lay_day) * count(*) as s11, var_pop(BreedingSeason) * count(*) as s22, var_pop(fledged) * count(*) as syy,
+    covar_pop(lay_day, BreedingSeason) * count(*) as s12, covar_pop(lay_day, fledged) * count(*) as s1y,
+    covar_pop(BreedingSeason, fledged) * count(*) as s2y
+  from lay where lay_day is not null and BreedingSeason is not null and fledged is not null group by PopID
+),
+slopes AS (
+  select *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) as b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) as b2,
+    s22 / (s11 * s22 - s12 * s12) as i11, s11 / (s11 * s22 - s12 * s12) as i22, -s12 / (s11 * s22 - s12 * s12) as i12
+  from co
+),
+model AS (
+  select *, my - b1 * m1 - b2 * m2 as b0, n - 3 as df,
+    case when n > 3 then sqrt((syy - b1 * s1y - b2 * s2y) / (n - 3)) end as sigma from slopes
+),
+"""
+OTHER_QUERIES["fledge_model"] = _with(_MODEL + """
+terms AS (
+  select PopID, n, df, sigma, '(Intercept)' as term, b0 as estimate,
+    sigma * sqrt(1.0::double / n + m1 * m1 * i11 + 2 * m1 * m2 * i12 + m2 * m2 * i22) as std_error from model
+  union all select PopID, n, df, sigma, 'lay_day', b1, sigma * sqrt(i11) from model
+  union all select PopID, n, df, sigma, 'BreedingSeason', b2, sigma * sqrt(i22) from model
+),
+""") + """
+select PopID, term, round(estimate, 6) as estimate, round(std_error, 6) as std_error,
+  round(estimate / std_error, 6) as t_value, n, cast(df as bigint) as df_residual, round(sigma, 6) as sigma
+from terms"""
+OTHER_QUERIES["fledge_model_predictions"] = _with(_MODEL) + """
+select row_ord, round(b0 + b1 * lay_day + b2 * BreedingSeason, 6) as fit,
+  round(sigma * sqrt(1.0::double / n + (lay_day - m1) * (lay_day - m1) * i11
+    + 2 * (lay_day - m1) * (BreedingSeason - m2) * i12 + (BreedingSeason - m2) * (BreedingSeason - m2) * i22), 6) as fit_se
+from lay left join model on lay.PopID is not distinct from model.PopID"""
+# a factor alone: differences of group means; without the first level the last one is the base
+OTHER_QUERIES["fledge_by_clutch_type"] = _with(_LAY + """
+cells AS (
+  select PopID, ClutchType_calculated as level, count(*) as n, avg(fledged) as m, var_pop(fledged) * count(*) as ss
+  from lay where ClutchType_calculated is not null and fledged is not null group by PopID, ClutchType_calculated
+),
+levels AS (select distinct ClutchType_calculated as level from lay where ClutchType_calculated is not null),
+least AS (select min(level) as level from levels),
+pops AS (
+  select PopID, sum(n) as n, sum(n) - count(*) as df, sqrt(sum(ss) / nullif(sum(n) - count(*), 0)) as sigma,
+    case when bool_or(level = (select level from least)) then (select level from least) else max(level) end as base
+  from cells group by PopID
+),
+terms AS (
+  select p.*, '(Intercept)' as term, c.m as estimate, p.sigma * sqrt(1.0::double / c.n) as std_error
+  from pops p join cells c on c.PopID is not distinct from p.PopID and c.level = p.base
+  union all
+  select p.*, 'ClutchType_calculated' || l.level, c.m - b.m, p.sigma * sqrt(1.0::double / c.n + 1.0::double / b.n)
+  from pops p cross join levels l join cells b on b.PopID is not distinct from p.PopID and b.level = p.base
+  left join cells c on c.PopID is not distinct from p.PopID and c.level = l.level and l.level <> p.base
+  where l.level <> (select level from least)
+),
+""") + """
+select PopID, term, round(estimate, 6) as estimate, round(std_error, 6) as std_error,
+  round(estimate / nullif(std_error, 0), 6) as t_value, cast(n as bigint) as n, cast(df as bigint) as df_residual, round(sigma, 6) as sigma
+from terms"""
+_T = ", ".join(repr(t_quantile(k)) for k in range(1, EXACT_T + 1))
+OTHER_QUERIES["fledge_trend_band"] = _with(FLEDGE_CTES + """
+co AS (
+  select PopID, count(*) as n, avg(prop_second_clutch) as mx, avg(fledge_ratio) as my,
+    var_pop(prop_second_clutch) * count(*) as sxx, covar_pop(prop_second_clutch, fledge_ratio) * count(*) as sxy,
+    var_pop(fledge_ratio) * count(*) as syy
+  from metrics where prop_second_clutch is not null and fledge_ratio is not null group by PopID
+),
+fitted AS (
+  select *, case when sxx > 0 then n - 2 else n - 1 end as df, case when sxx > 0 then sxy / sxx else 0 end as b from co
+),
+band AS (
+  select m.PopID, m.BreedingSeason, m.prop_second_clutch, my + b * (prop_second_clutch - mx) as fit, df,
+    sqrt((syy - b * sxy) / nullif(df, 0)) * sqrt(1.0::double / n + case when sxx > 0 then (prop_second_clutch - mx) * (prop_second_clutch - mx) / sxx else 0 end) as se
+  from metrics m left join fitted f on m.PopID is not distinct from f.PopID
+),
+""") + f"""
+select PopID, BreedingSeason, round(prop_second_clutch, 6) as prop_second_clutch, round(fit, 6) as fit,
+  round(fit - [{_T}][df] * se, 6) as fit_low, round(fit + [{_T}][df] * se, 6) as fit_high from band"""
 
 
 def oracle_queries() -> dict[str, str]:

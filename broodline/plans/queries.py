@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broodline.operators import breeding, captures, fledge, history, overview, pairs
+from broodline.functions.nulls import r_round
+from broodline.operators import breeding, captures, fledge, history, linear, overview, pairs, stats
 from broodline.session import ensure_checkpoint_dir, materialize, stage
 from broodline.sources.adapters import brood_view, capture_view, done_view, populations_view
-from broodline.sources.rcsv import ROW_NAMES, read_csv_r, write_csv_r
+from broodline.sources.rcsv import ROW_NAMES, read_csv_each, read_csv_r, write_csv_r
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -273,19 +274,90 @@ def q_csv_pair_table(spark, d):
     return read_csv_r(spark, path, table.schema, "readr")
 
 
+def remarks_view(spark: SparkSession, d: str) -> DataFrame:
+    """One remark for each nest: missing, empty, the text NA, and fields with quotes, commas
+    and line ends of both kinds, at their ends too."""
+    k, lf = F.col("row_ord"), F.lit("\n")
+    text = (F.when(k % 8 == 0, F.lit(None).cast("string")).when(k % 8 == 1, "").when(k % 8 == 2, "NA")
+            .when(k % 8 == 3, F.concat(F.lit("ring lost"), lf, F.lit('"second" visit, box '), "LocationID"))
+            .when(k % 8 == 4, F.concat(F.lit('"'), lf, lf, F.col("LocationID"), F.lit('",'), lf))
+            .when(k % 8 == 5, F.concat(F.lit("\r\n"), "LocationID", F.lit("\r\n,")))
+            .when(k % 8 == 6, F.concat(F.lit('""'), "LocationID")).otherwise(F.concat(F.lit("box "), "LocationID")))
+    return brood_view(spark, d).select("row_ord", "PopID", text.alias("remark"))
+
+
+def q_csv_remarks(spark, d):
+    """``write_csv`` of free-text remarks with line ends inside fields, read back by both of
+    R's readers."""
+    path = _scratch(spark, "remarks")
+    table = remarks_view(spark, d)
+    write_csv_r(table, path)
+    base, readr = (read_csv_r(spark, path, table.schema, f).select(F.lit(f).alias("reader"), "*") for f in ("base", "readr"))
+    return base.unionByName(readr)
+
+
 def q_csv_histories_female(spark, d):
     """Wide histories, one folder per population with its own years, read back in long form."""
-    codes = stage(_codes(spark, d, "female")[0])
-    text, out = T.StringType(), None
-    for folder, years in history.write_wide_per_population(codes, "female", _scratch(spark, "histories")):
-        names = [history.NO_YEAR if y is None else str(y) for y in years]
-        schema = T.StructType([T.StructField("pop", text), T.StructField("female", text),
-                               T.StructField("multi_partner", T.IntegerType()), *(T.StructField(n, text) for n in names)])
-        wide = read_csv_r(spark, folder, schema, "readr")
-        long = wide.unpivot(["pop", "female", "multi_partner"], names, "year", "event_code")
-        long = long.withColumn("year", F.nullif("year", F.lit(history.NO_YEAR)).cast("int"))
-        out = long if out is None else out.unionByName(long)
-    return out.select("pop", "female", "year", "multi_partner", "event_code")
+    codes, path = stage(_codes(spark, d, "female")[0]), _scratch(spark, "histories")
+    history.write_wide_per_population(codes, "female", path)
+    keys = ("pop", "female", "multi_partner")
+    rows = read_csv_each(spark, path, "readr").select(
+        *(F.col("fields")[k].alias(k) for k in keys), F.explode(F.map_filter("fields", lambda k, v: ~k.isin(*keys))).alias("year", "event_code"))
+    return rows.select("pop", "female", F.nullif("year", F.lit(history.NO_YEAR)).cast("int").alias("year"),
+                       F.col("multi_partner").cast("int").alias("multi_partner"), "event_code")
+
+
+# ---------------------------------------------------------------- rounding, ranks and models
+def q_rounded_means(spark, d):
+    """Mean fledglings by population, season and box, and their halves, rounded as R rounds."""
+    mean = brood_view(spark, d).groupBy("PopID", "BreedingSeason", "LocationID").agg(
+        F.avg(F.col("NumberFledged_observed").cast("double")).alias("mean"))
+    return mean.select("PopID", "BreedingSeason", "LocationID", r_round("mean", 1).alias("one"), r_round("mean", 2).alias("two"),
+                       r_round(F.col("mean") / 2, 2).alias("half"), r_round(F.col("mean") * 0.1, 2).alias("tenth"))
+
+
+def _lay_days(spark, d):
+    """The nests of the index with the day of the year of the first egg."""
+    return fledge.lay_days(brood_view(spark, d))
+
+
+def q_lay_day_rank_correlation(spark, d):
+    """Spearman correlation of lay date and fledglings over all nests of a population."""
+    return round_doubles(stats.spearman_of_large_groups(_lay_days(spark, d), ["PopID"], "lay_day", "fledged"))
+
+
+def _fledge_model(spark, d):
+    nests, terms = _lay_days(spark, d), ["lay_day", "BreedingSeason"]
+    return nests, terms, stage(linear.fit(nests, ["PopID"], "fledged", terms))
+
+
+def q_fledge_model(spark, d):
+    """``lm(fledged ~ lay_day + BreedingSeason)`` by population."""
+    _, terms, fits = _fledge_model(spark, d)
+    return round_doubles(linear.coefficients(fits, ["PopID"], len(terms)))
+
+
+def q_fledge_model_predictions(spark, d):
+    """The model's prediction for each nest, with its standard error."""
+    nests, terms, fits = _fledge_model(spark, d)
+    return round_doubles(linear.predict(nests, fits, ["PopID"], terms, linear.design(nests, terms)).select(
+        "row_ord", "fit", "fit_se"))
+
+
+def q_fledge_by_clutch_type(spark, d):
+    """``lm(fledged ~ clutch type)`` by population: a factor with treatment contrasts."""
+    nests = _lay_days(spark, d)
+    fits = stage(linear.fit(nests, ["PopID"], "fledged", ["ClutchType_calculated"]))
+    return round_doubles(linear.coefficients(fits, ["PopID"], len(linear.design(nests, ["ClutchType_calculated"]))))
+
+
+def q_fledge_trend_band(spark, d):
+    """The chart's trend of fledge ratio on the share of second clutches with its 95 % band, at
+    the seasons observed."""
+    metrics = _metrics(spark, d)
+    fits = stage(linear.fit(metrics, ["PopID"], "fledge_ratio", ["prop_second_clutch"]))
+    band = linear.predict(metrics, fits, ["PopID"], ["prop_second_clutch"], linear.design(metrics, ["prop_second_clutch"]))
+    return round_doubles(band.select("PopID", "BreedingSeason", "prop_second_clutch", "fit", "fit_low", "fit_high"))
 
 
 QUERIES: dict[str, Query] = {
@@ -330,4 +402,11 @@ QUERIES: dict[str, Query] = {
     "csv_breeding_records": q_csv_breeding_records,
     "csv_pair_table": q_csv_pair_table,
     "csv_histories_female": q_csv_histories_female,
+    "csv_remarks": q_csv_remarks,
+    "rounded_means": q_rounded_means,
+    "lay_day_rank_correlation": q_lay_day_rank_correlation,
+    "fledge_model": q_fledge_model,
+    "fledge_model_predictions": q_fledge_model_predictions,
+    "fledge_by_clutch_type": q_fledge_by_clutch_type,
+    "fledge_trend_band": q_fledge_trend_band,
 }

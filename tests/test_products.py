@@ -10,7 +10,7 @@ import pytest
 from broodline.plans import queries as Q
 from broodline.plans.products import main, read_input, write_products
 from broodline.sources.adapters import brood_view, capture_view
-from broodline.sources.rcsv import read_csv_r, write_csv_r
+from broodline.sources.rcsv import read_csv_each, read_csv_r, write_csv_r
 from broodline.sources.schemas import BROOD_SCHEMA, PAIRS_SCHEMA
 
 from .conftest import SF_SMALL
@@ -32,16 +32,16 @@ def test_write_products(spark):
     assert sorted(map(key, back.collect())) == sorted(map(key, exp.collect()))
     pops = sorted(p for p in os.listdir(paths["event_codes_female_long"]) if p.startswith("pop="))
     assert pops and len(pops) == exp.select("pop").distinct().count()
-    wide = [read_csv_r(spark, os.path.join(paths["event_codes_female"], f),
-                       T.StructType([T.StructField("pop", T.StringType()), T.StructField("female", T.StringType())]), "readr")
-            for f in os.listdir(paths["event_codes_female"])]
-    assert sum(w.count() for w in wide) == Q.q_wide_history_female(spark, SF_SMALL).count()
+    wide = read_csv_each(spark, paths["event_codes_female"], "readr")
+    assert wide.count() == Q.q_wide_history_female(spark, SF_SMALL).count()
 
 
 def _table(folder):
-    """Header and rows of all CSV files of a folder."""
+    """Header and rows of each CSV file of a folder."""
     out = []
-    for f in sorted(glob.glob(f"{folder}/**/*.csv", recursive=True)):
+    for f in sorted(glob.glob(f"{folder}/**/part-*", recursive=True)):
+        if os.path.isdir(f):
+            continue
         with open(f, newline="") as fh:
             out.append(list(csv.reader(fh)))
     return out
