@@ -13,22 +13,26 @@ where 128 rows are solved to the end in 2.
 
 Every pattern use has numbered slots for each class, and the documents of a class are
 ranked; rank k takes slot k. Ranks come from counts of (class, shard) and positions inside
-a shard, so no task ever sees all documents of one class, and a document meets its slot in
+a shard, the counts summed up in blocks of ``BLOCK`` shards and over the blocks, so no task ever
+sees all documents of one class or all shards, and a document meets its slot in
 a join with the slot table (a few rows for each pattern). The offset of a piece is the
 length of those before it in its sequence, a window of at most SIZE rows.
 
-Token ids are those of the ``tokenizers`` vocabulary, its special strings being ordinary
-text. Texts of the common Latin characters go through ``tiktoken`` with the same
-vocabulary and merges, which gives the same ids at a quarter of the CPU time; all others
-go through ``tokenizers`` itself.
+Token ids are those of the ``tokenizers`` vocabulary with its defaults: a text that spells an
+added token (``<|endoftext|>``) gets that token's id. Texts of the common Latin characters
+without such a string go through ``tiktoken`` with the same vocabulary and merges, which gives
+the same ids at a quarter of the CPU time; all others go through ``tokenizers`` itself. Very
+long texts are encoded whole.
 
 Defined results: a null or empty text is one piece of the single id 0. Rows that repeat a
-doc_id are packed each on their own. Empty tables give no rows; other columns are ignored.
+doc_id are packed each on their own; documents of the same class, id and checksums are
+interchangeable. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -49,6 +53,7 @@ UNIT = 8
 ROOM = SIZE // UNIT  # units of a sequence
 GAP = 2e-4
 SHARD = 20_000  # documents that are ranked together, in expectation
+BLOCK = 1000  # shards that are summed up together
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 _UNCOMMON = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ſ–—‘-”…€]")
 
@@ -69,19 +74,20 @@ class Encoder:
         import tiktoken
 
         self.vocabulary, self.exact = vocabulary, None
+        with open(file_of(vocabulary), encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN,
                                       mergeable_ranks=read_ranks(ranks), special_tokens={})
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if not _UNCOMMON.search(text):
+        if not _UNCOMMON.search(text) and not any(t in text for t in self.added):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         if self.exact is None:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
             self.exact = Tokenizer.from_file(file_of(self.vocabulary))
-            self.exact.encode_special_tokens = True
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -211,6 +217,19 @@ def plan(histogram: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int,
     return slots, sequence
 
 
+def sums_before(counts: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """``counts`` with the sum of ``value`` over the smaller shards of the same ``by``, as ``out``:
+    sums inside blocks of ``BLOCK`` shards, and sums over the blocks before."""
+    block = F.floor(F.col("shard") / BLOCK)
+    rows = counts.withColumn("_block", block)
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
+    blocks = blocks.select(*by, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(blocks, [*by, "_block"])
+    return rows.withColumn(out, F.col(out) + F.col("_before")).drop("_block", "_before")
+
+
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for each piece."""
     spark = docs.sparkSession
@@ -225,12 +244,10 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> D
                  counted.where("class > 0").groupBy("class").agg(F.sum("n")).collect()}  # ROOM rows at most
     slots, sequences = plan(histogram)
 
-    before = Window.partitionBy("class").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first_rank = counted.select("shard", "class", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_rank"))
-    # one row for each shard: a running total of the shards' full pieces
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first_full = counted.groupBy("shard").agg(F.sum("full").alias("full")).select(
-        "shard", (F.coalesce(F.sum("full").over(before), F.lit(0)) + sequences).alias("first_full"))
+    first_rank = sums_before(counted, ["class"], "n", "first_rank").select("shard", "class", "first_rank")
+    full = counted.groupBy("shard").agg(F.sum("full").alias("full"))
+    first_full = sums_before(full, [], "full", "first_full").select(
+        "shard", (F.col("first_full") + sequences).alias("first_full"))
 
     inside = Window.partitionBy("shard", "class").orderBy("doc_id", "crcs")
     earlier = Window.partitionBy("shard").orderBy("class", "doc_id", "crcs").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,9 +11,7 @@ from broodline.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -94,3 +92,18 @@ def test_plan_places_every_remainder_once():
         assert at == n
     assert sequences <= 1.01 * sum(k * v for k, v in histogram.items()) / packing.ROOM + 1
     assert packing.plan({}) == ([], 0)
+
+
+def test_added_tokens_keep_their_ids(spark, tokenizer):
+    encoder = packing.Encoder()
+    assert [*encoder.ids("a <|endoftext|> b").tolist(), 0] == [64, 220, 50256, 275, 0]
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 1500), (3, "é日 <|endoftext|>"), (4, "<|endoftext"), (5, "word " * 300_000)]
+    check(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows, tokenizer)
+
+
+def test_sums_before_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    rows = [(c, s, s * 7 + c) for c in range(3) for s in range(20) if (s + c) % 4]
+    df = spark.createDataFrame(rows, "class int, shard int, n long")
+    got = {(r["class"], r.shard): r.before for r in packing.sums_before(df, ["class"], "n", "before").collect()}
+    assert got == {(c, s): sum(n for d, t, n in rows if d == c and t < s) for c, s, _ in rows}
