@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,17 +113,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Sever
         def apply(toxic, text):
             text = text.to_pylist()
             hashes = [shingle_hashes(t, 2) for t in text]
-            return [toxic, [sorted(words_of(t)) for t in text], [int(h[0]) >> 1 if len(h) else None for h in hashes],
-                    [int(h[-1]) >> 1 if len(h) else None for h in hashes]]
+            return [toxic, [sorted(words_of(t)) for t in text],
+                    [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in hashes]]
 
         return apply
 
     sample = map_batches(texts.select("toxic", "text"), make, T.StructType([
         T.StructField("toxic", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("least", T.LongType()), T.StructField("most", T.LongType())])).where("least is not null")
-    for one, other in (("least", "most"), ("most", "least")):
-        sample = (sample.groupBy(one).agg(F.min(F.struct(other, "toxic", "words")).alias("first"))
-                  .select(one, "first.*"))
+        T.StructField("digest", T.BinaryType())])).where("digest is not null")
+    # texts of the same set of 2-word shingles are copies; a text of its own is never dropped
+    sample = sample.groupBy("digest").agg(F.min(F.struct("toxic", "words")).alias("first")).select("first.*")
     sample = stage(sample.select("toxic", "words"))
     total, bad = sample.select(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if not bad or bad == total:

@@ -37,6 +37,22 @@ def test_toxic_documents_are_found_and_clean_ones_left(corpus):
     assert kept.columns == docs.columns and abs(kept.count() - 500) <= 6
 
 
+def test_texts_that_share_a_shingle_are_all_learned_from(spark):
+    """Rows that have an extreme shingle in common but are no copies are not dropped."""
+    r = random.Random(9)
+    rows = [(i, f"common start {prose(i, 30)} {'vilda' if i % 4 == 0 else ''} same end") for i in range(400)]
+    rows += [(1000 + i, rows[0][1]) for i in range(50)]  # copies of one text
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC_SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0 or i >= 1000)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    seen = []
+    real, toxicity.fit = toxicity.fit, lambda rows, *a, **k: seen.append(len(rows)) or real(rows, *a, **k)
+    try:
+        toxicity.train(docs, labels)
+    finally:
+        toxicity.fit = real
+    assert seen == [400]
+
+
 def test_gradient_of_the_ordinal_loss():
     """The fitted weights of one word agree with a grid search of the loss."""
     r = random.Random(1)
