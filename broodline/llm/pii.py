@@ -226,10 +226,14 @@ def reliabilities(patterns: list[tuple[tuple, int]], rounds: int = 60) -> tuple[
     return tables, chance
 
 
+WEIGHT = 10_000.0  # of all counted spans against the classifier's ridge
+
+
 def _classifier(rows: list[tuple[str, tuple, tuple, int, float]], rounds: int = 25) -> tuple[float, ...]:
     """Logistic regression on soft labels by damped Newton steps with a ridge."""
     x = np.array([_row(kind, vote, look) for kind, vote, look, _, _ in rows])
-    n = np.array([min(c, 1000) for *_, c, _ in rows], float)
+    n = np.array([c for *_, c, _ in rows], float)
+    n *= WEIGHT / n.sum()  # the ridge weighs the same for every size of the input
     y = np.array([p for *_, p in rows])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from broodline.llm import pii
 
 
@@ -95,3 +97,12 @@ def test_masked_table_sets_lengths(spark):
     got = {r.doc_id: r for r in pii.mask(df, pii.SpanModel()).collect()}
     assert got[1].text == "mail [EMAIL]" and got[1].n_chars == 12
     assert got[2].text is None and got[2].n_chars is None and got[3].n_chars == 99
+
+
+def test_the_classifier_does_not_depend_on_the_size_of_the_input():
+    """The same shares of spans give the same weights, also where a count passes 1,000."""
+    rows = [("email", (1, 1, 1, 0, 1), (1, 0, 1), 900, 0.9), ("phone", (0, -1, 1, 0, -1), (0, 1, 1), 300, 0.2), ("card", (1, 0, 0, 1, 0), (1, 1, 0), 7, 0.7)]
+    width = len(pii.surface("a", 0, 1))
+    rows = [(k, v[: len(pii.votes("a@b.cd", 0, "email", 6, True))], (s * 3)[:width], n, p) for k, v, s, n, p in rows]
+    more = [(k, v, s, 1000 * n, p) for k, v, s, n, p in rows]
+    assert pii._classifier(rows) == pytest.approx(pii._classifier(more), abs=1e-9)
