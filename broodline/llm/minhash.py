@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broodline.llm.common import U64, fresh, map_batches, mix64, seeds
+from broodline.llm.common import U64, add_columns, fresh, map_batches, mix64, seeds
 from broodline.llm.components import connected_components
 from broodline.session import materialize, stage
 
@@ -79,8 +79,8 @@ def minhashes(hashes: np.ndarray, part: int = 4096) -> np.ndarray:
     return (least >> U64(32)).astype(np.uint32).view(np.int32)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig), one row per doc_id."""
+def row_signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, sig) of each row with a doc_id."""
 
     def make():
         def apply(ids, texts):
@@ -99,7 +99,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
-    rows = map_batches(docs.select("doc_id", "text").where("doc_id is not null"), make, schema)
+    return map_batches(docs.select("doc_id", "text").where("doc_id is not null"), make, schema)
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, sig), one row per doc_id: of several texts of an id, the one
+    with the smallest digest."""
+    rows = row_signatures(docs, width)
     return (rows.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "sig")).alias("d"))
             .select("doc_id", "d.n_shingles", "d.digest", "d.sig"))
 
@@ -288,13 +294,35 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     """The rows of ``docs`` without near copies: of each component the document with the
     smallest doc_id stays, once. Rows without doc_id stay.
 
+    Where a doc_id has several texts, the one with the smallest digest stands for the id and is
+    judged; each other text of the id stays, once.
+
     Only rows whose id may be dropped or repeated are moved to decide on them.
     """
-    found = stage(near_duplicates(docs, width, percent).select("doc_id", "kept"))
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    signed = stage(near_duplicates(docs, width, percent).select("doc_id", "kept"))
+    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     mark = fresh(docs, "_affected")
-    rows = marked(docs, "doc_id", found.where("not kept").select("doc_id").union(repeated), mark)
+    rows = marked(docs, "doc_id", signed.where("not kept").select("doc_id").union(repeated), mark)
     rows = rows.withColumn(mark, F.col(mark) & F.col("doc_id").isNotNull())
-    affected = (rows.where(mark).drop(mark).join(found.where("kept").select("doc_id"), "doc_id", "left_semi")
-                .dropDuplicates(["doc_id"]))
-    return rows.where(~F.col(mark)).drop(mark).select(docs.columns).unionByName(affected.select(docs.columns))
+    affected = rows.where(mark).drop(mark)
+    out = rows.where(~F.col(mark)).drop(mark).select(docs.columns)
+    if repeated.isEmpty():
+        kept = affected.join(signed.where("kept").select("doc_id"), "doc_id", "left_semi")
+        return out.unionByName(kept.select(docs.columns))
+    single = affected.join(repeated, "doc_id", "left_anti").join(signed.where("kept").select("doc_id"), "doc_id", "left_semi")
+    several = affected.join(repeated, "doc_id", "left_semi")
+    digest, judged, kept = (fresh(docs, n) for n in ("_digest", "_judged", "_kept"))
+    texts = row_signatures(several, width).select("doc_id", "digest").groupBy("doc_id").agg(F.min("digest").alias(judged))
+    own = _with_digest(several, width, digest).join(texts, "doc_id").join(signed.select("doc_id", F.col("kept").alias(kept)), "doc_id")
+    stay = own.where(F.col(kept) | (F.col(digest) != F.col(judged))).dropDuplicates(["doc_id", digest])
+    return out.unionByName(single.select(docs.columns)).unionByName(stay.select(docs.columns))
+
+
+def _with_digest(docs: DataFrame, width: int, name: str) -> DataFrame:
+    def make():
+        def apply(texts):
+            return [[xxhash.xxh3_128_digest(shingle_hashes(t, width).tobytes()) for t in texts.to_pylist()]]
+
+        return apply
+
+    return add_columns(docs, ["text"], make, [T.StructField(name, T.BinaryType())])

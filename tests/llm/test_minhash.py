@@ -111,6 +111,19 @@ def test_deduplicated_keeps_one_of_each_group(docs, texts, monkeypatch, bits):
     assert got.where("doc_id is null").count() == 1
 
 
+def test_each_text_of_a_repeated_id_stays(spark):
+    """Two unrelated texts under one id, of which one has a near copy elsewhere."""
+    one, two = prose(51, 80), prose(52, 80)
+    rows = [(1, one), (7, two), (7, one + " end"), (7, two), (9, two.upper()), (12, prose(53, 80)), (12, prose(54, 80))]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in minhash.deduplicated(df, 5).collect()]
+    assert len(got) == len(set(got))
+    ids = [i for i, _ in got]
+    assert ids.count(12) == 2 and ids.count(1) == 1
+    texts = {t.lower() for _, t in got}
+    assert one.lower() in texts and two.lower() in texts  # no text is lost with its copies
+
+
 def test_minhash_estimates_similarity():
     a = minhash.shingle_hashes(prose(1, 2000), 2)
     b = a[: len(a) * 8 // 10]
