@@ -78,7 +78,7 @@ def asc_nl(*cols) -> list[Column]:
     return [_c(c).asc_nulls_last() for c in cols]
 
 
-def _order_struct(order: Sequence) -> Column:
+def order_struct(order: Sequence) -> Column:
     """A struct whose natural ordering is 'ascending, NULL last' on each field."""
     fields = []
     for i, c in enumerate(order):
@@ -97,13 +97,13 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame
     """
     others = [c for c in df.columns if c not in keys]
     agg = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*[F.col(c) for c in others]), _order_struct(order)).alias("_kf"))
+        F.min_by(F.struct(*[F.col(c) for c in others]), order_struct(order)).alias("_kf"))
     return agg.select(*keys, *[F.col(f"_kf.{c}").alias(c) for c in others])
 
 
 def first_last_by(value, order: Sequence, first_name: str, last_name: str) -> list[Column]:
     """Aggregates: value of the first and of the last row by ``order`` (NULL last)."""
-    o = _order_struct(order)
+    o = order_struct(order)
     return [F.min_by(_c(value), o).alias(first_name), F.max_by(_c(value), o).alias(last_name)]
 
 

@@ -25,8 +25,13 @@ The lag window therefore holds at most one row per observed year of a population
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from broodline.functions.nulls import first_last_by, join_null_safe
 from broodline.session import stage
@@ -45,6 +50,37 @@ def _record_order(focal: str) -> list[str]:
         ["order", partner, "source_rank", "row_ord"]
 
 
+def _event_code(c: Column, m: Column, p: Column, b: Column, k: Column, require_known_partner: bool) -> Column:
+    """The code of a bird in a year: captured (``c``) with mate ``m``, its earlier mate ``p``, which
+    bred that year (``b``), with a known bird (``k``)."""
+    six = (~c & b & k) if require_known_partner else (~c & b)
+    return (F.when(~c & p.isNull(), "0")
+            .when(c & m.isNotNull() & p.isNotNull() & (m == p), "1")
+            .when(c & m.isNotNull() & p.isNotNull() & (m != p), "2")
+            .when(c & m.isNotNull() & p.isNull(), "3")
+            .when(c & m.isNull() & p.isNotNull() & b, "4")
+            .when(c & m.isNull() & (p.isNull() | ~b), "5")
+            .when(six, "6")
+            .otherwise("0"))
+
+
+def _presence(P: DataFrame, focal: str, partner: str) -> DataFrame:
+    """(pop, year, _p, _known): the partners of a season, and whether with a known bird."""
+    return (P.where(F.col(partner).isNotNull())
+            .groupBy("pop", "year", F.col(partner).alias("_p"))
+            .agg(F.max(F.col(focal).isNotNull()).alias("_known")))
+
+
+def _with_presence(g: DataFrame, pres: DataFrame, focal: str) -> DataFrame:
+    """``g`` with what became of the earlier mate ``_p``: ``_b`` and ``_k`` of ``_event_code``."""
+    # rows without a previous partner match nothing; the second key spreads them
+    g = g.withColumn("_spread", F.when(F.col("_p").isNull(), F.xxhash64(focal)).otherwise(0))
+    g = join_null_safe(g, pres.withColumn("_spread", F.lit(0).cast("bigint")), ["pop", "year", "_p", "_spread"])
+    known = F.col("_p").isNotNull()
+    return g.withColumns({"_b": F.when(known, F.col("_known").isNotNull()),
+                          "_k": F.when(known, F.coalesce("_known", F.lit(False)))})
+
+
 def event_codes(pairs: DataFrame, focal: str = "female",
                 require_known_partner: bool = True) -> DataFrame:
     """Long-form event codes: one row per (pop, focal bird, observed year).
@@ -78,30 +114,96 @@ def event_codes(pairs: DataFrame, focal: str = "female",
         F.when(F.coalesce(F.max("_pn2").over(wb), F.lit(False)), 1).otherwise(0)
          .cast("int").alias("multi_partner"))
 
-    # presence of each partner per (pop, year): breeding at all / with a known focal bird
-    pres = (P.where(F.col(partner).isNotNull())
-            .groupBy("pop", "year", F.col(partner).alias("_p"))
-            .agg(F.max(F.col(focal).isNotNull()).alias("_known")))
-    # rows without a previous partner match nothing; the second key spreads them
-    g = g.withColumn("_spread", F.when(F.col("_p").isNull(), F.xxhash64(focal)).otherwise(0))
-    g = join_null_safe(g, pres.withColumn("_spread", F.lit(0).cast("bigint")), ["pop", "year", "_p", "_spread"])
-    known = F.col("_p").isNotNull()
-    g = g.withColumns({"_b": F.when(known, F.col("_known").isNotNull()),
-                       "_k": F.when(known, F.coalesce("_known", F.lit(False)))})
-
-    c, m, p, b, k = (F.col(x) for x in ("captured", "_m", "_p", "_b", "_k"))
-    six = (~c & b & k) if require_known_partner else (~c & b)
-    code = (F.when(~c & p.isNull(), "0")
-            .when(c & m.isNotNull() & p.isNotNull() & (m == p), "1")
-            .when(c & m.isNotNull() & p.isNotNull() & (m != p), "2")
-            .when(c & m.isNotNull() & p.isNull(), "3")
-            .when(c & m.isNull() & p.isNotNull() & b, "4")
-            .when(c & m.isNull() & (p.isNull() | ~b), "5")
-            .when(six, "6")
-            .otherwise("0"))
+    g = _with_presence(g, _presence(P, focal, partner), focal)
+    code = _event_code(*(F.col(x) for x in ("captured", "_m", "_p", "_b", "_k")), require_known_partner)
     return g.select("pop", focal, "year", "multi_partner", code.alias("event_code"))
 
 
+@dataclass(frozen=True)
+class Seasons:
+    """Event codes kept up to date as seasons arrive, one after the other.
+
+    The state is what the next season needs: each known bird with its last mate in its
+    population's latest season (``birds``) and the seasons seen (``years``). ``add`` reads the
+    state and the new season's pair rows only; codes already made are not touched, since a
+    season changes none of them. The result equals ``event_codes`` of all rows so far.
+
+    A step writes its tables into the shared folder and returns a new state, so a step that fails
+    is repeated from the state before.
+    """
+
+    focal: str
+    birds: DataFrame
+    years: DataFrame
+    codes: tuple[DataFrame, ...] = ()
+    require_known_partner: bool = True
+
+    @staticmethod
+    def none(spark: SparkSession, focal: str = "female", require_known_partner: bool = True) -> Seasons:
+        return Seasons(focal, spark.createDataFrame([], f"pop string, {focal} string, _last string, _multi boolean"),
+                       spark.createDataFrame([], "pop string, year int"), (), require_known_partner)
+
+    def add(self, season: DataFrame) -> Seasons:
+        """``season``: the final pair rows of one new season of some populations, complete. A season
+        that does not come after those of its population is an error; an unknown one is the last."""
+        focal = self.focal
+        partner, pair_num = ROLES[focal]
+        P = season.select("pop", "year", focal, partner, pair_num, "order", "source_rank", "row_ord")
+        now = P.select("pop", "year").distinct()
+        seen = self.years.withColumn("_seen", F.lit(True)).unionByName(now.withColumn("_seen", F.lit(False)))
+        last = F.max(F.struct(F.col("year").isNull(), "year"))  # NULL sorts last
+        wrong = seen.groupBy("pop").agg(
+            F.max(F.when(F.col("_seen"), F.struct(F.col("year").isNull(), "year"))).alias("before"),
+            F.min(F.when(~F.col("_seen"), F.struct(F.col("year").isNull(), "year"))).alias("first"),
+            last.alias("last"), F.count_if(~F.col("_seen")).alias("n")).where("n > 1 or (n = 1 and before >= first)").first()
+        if wrong:
+            raise ValueError(f"population {wrong['pop']}: a step adds one season, after those before")
+
+        per = P.where(F.col(focal).isNotNull()).groupBy("pop", focal).agg(
+            *first_last_by(partner, _record_order(focal), "_m", "_now"), F.max(F.col(pair_num) == 2).alias("_pn2"))
+        keys = ["pop", focal]
+        known = join_null_safe(self.birds, now.select("pop"), ["pop"], "inner").withColumn("_old", F.lit(True))
+        every = known.select(*keys).unionByName(per.select(*keys)).distinct()
+        g = join_null_safe(every, per.withColumn("_here", F.lit(True)), keys)
+        g = join_null_safe(join_null_safe(g, known, keys), now, ["pop"], "inner")
+        no = F.lit(False)
+        g = g.select(*keys, "year", F.coalesce("_here", no).alias("captured"), "_m", F.col("_last").alias("_p"), "_now",
+                     (F.coalesce("_pn2", no) | F.coalesce("_multi", no)).alias("_multi"), F.coalesce("_old", no).alias("_old"))
+        g = stage(_with_presence(g, _presence(P, focal, partner), focal))
+        code = _event_code(*(F.col(x) for x in ("captured", "_m", "_p", "_b", "_k")), self.require_known_partner)
+        # a bird met for the first time was not captured in the seasons before
+        before = join_null_safe(g.where("not _old").select(*keys), self.years, ["pop"], "inner")
+        codes = stage(g.select(*keys, "year", code.alias("event_code")).unionByName(
+            before.select(*keys, "year", F.lit("0").alias("event_code"))))
+        # birds of populations without this season stay as they are
+        others = self.birds.join(now.select(F.col("pop").alias("_pop")), F.col("pop").eqNullSafe(F.col("_pop")), "left_anti")
+        birds = others.unionByName(g.select(*keys, F.when(F.col("captured"), F.col("_now")).alias("_last"), "_multi"))
+        return replace(self, birds=stage(birds), years=stage(self.years.unionByName(now)), codes=(*self.codes, codes))
+
+    def event_codes(self) -> DataFrame:
+        """All codes so far, in the form of ``event_codes``."""
+        if not self.codes:
+            return self.birds.select("pop", self.focal, F.lit(0).alias("year"), F.lit(0).alias("multi_partner"), F.lit("").alias("event_code"))
+        rows = reduce(DataFrame.unionByName, self.codes)
+        multi = self.birds.select("pop", self.focal, F.col("_multi").cast("int").alias("multi_partner"))
+        return join_null_safe(rows, multi, ["pop", self.focal], "inner").select("pop", self.focal, "year", "multi_partner", "event_code")
+
+
+def follow_seasons(stream: DataFrame, state: Seasons, publish: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Runs ``Seasons.add`` on a stream of pair rows, each micro-batch one season, and gives the
+    codes so far to ``publish(codes, number of the season)``. The state lives in the application;
+    a new one rebuilds it from the stream's start."""
+    now = state
+
+    def one(batch: DataFrame, number: int) -> None:
+        nonlocal now
+        if not batch.isEmpty():
+            now = now.add(stage(batch))
+            publish(now.event_codes(), number)
+
+    return stream.writeStream.foreachBatch(one).start()
+
+
 NO_YEAR = "NA"  # column of an unknown year
 
 

@@ -675,6 +675,41 @@ band AS (
 select PopID, BreedingSeason, round(prop_second_clutch, 6) as prop_second_clutch, round(fit, 6) as fit,
   round(fit - [{_T}][df] * se, 6) as fit_low, round(fit + [{_T}][df] * se, 6) as fit_high from band"""
 
+OTHER_QUERIES["event_codes_by_season"] = PAIR_QUERIES["event_codes_female"]
+OTHER_QUERIES["lay_density"] = _with(_LAY + """
+known AS (select PopID, ClutchType_calculated, cast(lay_day as double) as v from lay where lay_day is not null),
+g AS (
+  select PopID, ClutchType_calculated, count(*) as n, min(v) as low, max(v) as high, stddev_samp(v) as sd,
+    (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::double as iqr
+  from known group by PopID, ClutchType_calculated having count(*) > 1
+),
+h AS (
+  select *, 0.9::double * case when least(sd, iqr) > 0 then least(sd, iqr) when sd > 0 then sd when abs(low) > 0 then abs(low) else 1 end
+    * pow(n, -0.2::double) as bandwidth from g
+),
+grid AS (
+  select h.*, low - 3 * bandwidth + (high - low + 6 * bandwidth) * i / 511 as x from h, range(512) as r(i)
+),
+bins AS (select PopID, ClutchType_calculated, v, count(*) as k from known group by PopID, ClutchType_calculated, v),
+""") + """
+select grid.PopID, grid.ClutchType_calculated, any_value(n) as n, round(any_value(bandwidth), 9) as bandwidth, round(x, 9) as x,
+  round(sum(k * exp(-0.5::double * pow((x - v) / bandwidth, 2))) / (any_value(n) * any_value(bandwidth) * sqrt(2 * pi())), 9) as density
+from grid join bins on bins.PopID is not distinct from grid.PopID and bins.ClutchType_calculated is not distinct from grid.ClutchType_calculated
+group by grid.PopID, grid.ClutchType_calculated, x"""
+OTHER_QUERIES["previous_capture"] = f"""
+select row_ord, CapturePopID, lag(CaptureDate) over w as previous_date, lag(IndvID) over w as previous_bird,
+  cast(CaptureDate - lag(CaptureDate) over w as integer) as days
+from ({CAPTURE_VIEW_SQL}) c window w as (partition by CapturePopID order by CaptureDate nulls last, row_ord)"""
+OTHER_QUERIES["nearest_capture"] = f"""
+with nests as (select row_ord, upper(FemaleID) as bird, LayDate_observed as day from ({BROOD_VIEW_SQL}) b),
+caught as (select distinct upper(IndvID) as bird, CaptureDate as day from ({CAPTURE_VIEW_SQL}) c where IndvID is not null and CaptureDate is not null),
+near as (
+  select n.row_ord, arg_min(c.day, (abs(n.day - c.day), c.day)) as nearest from nests n join caught c on c.bird = n.bird and n.day is not null
+  group by n.row_ord
+)
+select n.row_ord, n.bird, n.day as lay_date, near.nearest, cast(n.day - near.nearest as integer) as days
+from nests n left join near on near.row_ord = n.row_ord"""
+
 
 def oracle_queries() -> dict[str, str]:
     out = dict(PAIR_QUERIES)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broodline.functions.nulls import r_round
-from broodline.operators import breeding, captures, fledge, history, linear, overview, pairs, stats
+from broodline.operators import breeding, captures, density, fledge, history, linear, ordered, overview, pairs, stats
 from broodline.session import ensure_checkpoint_dir, materialize, stage
 from broodline.sources.adapters import brood_view, capture_view, done_view, populations_view
 from broodline.sources.rcsv import ROW_NAMES, read_csv_each, read_csv_r, write_csv_r
@@ -360,6 +360,36 @@ def q_fledge_trend_band(spark, d):
     return round_doubles(band.select("PopID", "BreedingSeason", "prop_second_clutch", "fit", "fit_low", "fit_high"))
 
 
+def q_event_codes_by_season(spark, d):
+    """Female event codes, season after season from the state, as the pair rows arrive."""
+    pairs_ = stage(final_pairs_tie(spark, d))
+    state = history.Seasons.none(spark, "female")
+    for year in history.observed_years(pairs_):  # the calendar's seasons, in the order they arrive
+        state = state.add(pairs_.where(F.col("year").eqNullSafe(F.lit(year))))
+    return state.event_codes()
+
+
+def q_lay_density(spark, d):
+    """Density of the day of the first egg by population and clutch type."""
+    return round_doubles(density.density_by_group(_lay_days(spark, d), ["PopID", "ClutchType_calculated"], "lay_day"), 9)
+
+
+def q_previous_capture(spark, d):
+    """The date and bird of the capture before in the same population: a lag within few, very
+    large groups."""
+    c = capture_view(spark, d).select("row_ord", "CapturePopID", F.struct("CaptureDate", "IndvID").alias("capture"), "CaptureDate")
+    rows = ordered.lag_over_tasks(c, ["CapturePopID"], ["CaptureDate", "row_ord"], "capture", "before")
+    return rows.select("row_ord", "CapturePopID", F.col("before.CaptureDate").alias("previous_date"), F.col("before.IndvID").alias("previous_bird"),
+                       F.date_diff("CaptureDate", "before.CaptureDate").alias("days"))
+
+
+def q_nearest_capture(spark, d):
+    """The capture of the female that is nearest to the laying date of each of her nests."""
+    nests = brood_view(spark, d).select("row_ord", F.upper("FemaleID").alias("bird"), F.col("LayDate_observed").alias("day"))
+    captures_ = capture_view(spark, d).select(F.upper("IndvID").alias("bird"), F.col("CaptureDate").alias("day"))
+    return ordered.nearest_in_time(nests, captures_, ["bird"], "day").withColumnRenamed("day", "lay_date")
+
+
 QUERIES: dict[str, Query] = {
     "partner_multiplicity": q_partner_multiplicity,
     "partner_crosstab": q_partner_crosstab,
@@ -409,4 +439,8 @@ QUERIES: dict[str, Query] = {
     "fledge_model_predictions": q_fledge_model_predictions,
     "fledge_by_clutch_type": q_fledge_by_clutch_type,
     "fledge_trend_band": q_fledge_trend_band,
+    "event_codes_by_season": q_event_codes_by_season,
+    "lay_density": q_lay_density,
+    "previous_capture": q_previous_capture,
+    "nearest_capture": q_nearest_capture,
 }

@@ -1,0 +1,71 @@
+"""Lags, carried values and nearest joins over tasks against windows and plain Python."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from broodline.operators import ordered
+
+
+@pytest.fixture(autouse=True)
+def many_slices(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def table(spark, seed, n=2000):
+    """A key with 60 % of the rows, an unknown key, unknown order values and unknown values."""
+    r = random.Random(seed)
+    rows = [(r.choice(["hot"] * 6 + ["a", "b", None, "c"]), r.choice([None, *range(400)]), i, r.choice([None, None, r.random()])) for i in range(n)]
+    return spark.createDataFrame(rows, "k string, t int, i int, v double")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lag_equals_the_window(spark, seed):
+    df = table(spark, seed)
+    w = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_last(), "i")
+    want = {r.i: r.x for r in df.withColumn("x", F.lag("v").over(w)).collect()}
+    got = ordered.lag_over_tasks(df, ["k"], ["t", "i"], "v", "x")
+    assert got.columns == ["k", "t", "i", "v", "x"]
+    assert {r.i: r.x for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_carry_equals_the_window(spark, seed):
+    df = table(spark, seed).withColumn("v", F.when(F.col("i") % 50 == 0, F.col("v")))  # long stretches without a value
+    w = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_last(), "i").rowsBetween(Window.unboundedPreceding, 0)
+    want = {r.i: r.x for r in df.withColumn("x", F.last("v", ignorenulls=True).over(w)).collect()}
+    assert {r.i: r.x for r in ordered.carry_over_tasks(df, ["k"], ["t", "i"], "v", "x").collect()} == want
+
+
+def test_a_hot_key_is_cut(spark):
+    df = spark.range(100_000).select(F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("t"))
+    slices = ordered._sliced(df, ["k"], ["t"]).where("k = -1").groupBy(ordered.SLICE).count().collect()
+    assert len(slices) > 3 and max(r["count"] for r in slices) < 40_000
+
+
+def test_nearest_equals_brute_force(spark):
+    r = random.Random(7)
+    day = lambda: None if r.random() < 0.05 else dt.date(2000, 1, 1) + dt.timedelta(days=r.randint(0, 300))
+    keys = ["hot"] * 5 + ["a", "b", None]
+    left = [(i, r.choice([*keys, "alone"]), day()) for i in range(600)]
+    right = [(r.choice([*keys, "never"]), day()) for _ in range(150)]
+    got = ordered.nearest_in_time(spark.createDataFrame(left, "i int, k string, d date"), spark.createDataFrame(right, "k string, d date"), ["k"], "d")
+    for row in got.collect():
+        events = [d for k, d in right if k is not None and k == row.k and d is not None and row.d is not None]
+        best = min(events, key=lambda d: (abs((row.d - d).days), d), default=None)
+        assert row.nearest == best and row.days == (None if best is None else (row.d - best).days)
+    assert got.count() == 600
+
+
+def test_empty_tables(spark):
+    df = table(spark, 1, 20)
+    assert ordered.lag_over_tasks(df.limit(0), ["k"], ["t", "i"], "v", "x").count() == 0
+    left = spark.createDataFrame([(1, "a", dt.date(2000, 1, 1))], "i int, k string, d date")
+    found = ordered.nearest_in_time(left, left.select("k", "d").limit(0), ["k"], "d").collect()
+    assert [(r.i, r.nearest, r.days) for r in found] == [(1, None, None)]
+    assert ordered.nearest_in_time(left.limit(0), left.select("k", "d"), ["k"], "d").count() == 0
