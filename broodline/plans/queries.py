@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broodline.functions.nulls import r_round
-from broodline.operators import breeding, captures, density, fledge, history, linear, ordered, overview, pairs, stats
+from broodline.operators import breeding, captures, density, fledge, history, linear, ordered, overview, pairs, smooth, stats
 from broodline.session import ensure_checkpoint_dir, materialize, stage
 from broodline.sources.adapters import brood_view, capture_view, done_view, populations_view
 from broodline.sources.rcsv import ROW_NAMES, read_csv_each, read_csv_r, write_csv_r
@@ -369,6 +369,19 @@ def q_event_codes_by_season(spark, d):
     return state.event_codes()
 
 
+def q_fledge_smooth(spark, d):
+    """The charts' smooth curve with its band: fledglings per female on the number of females, by
+    population."""
+    fits = smooth.fit(_metrics(spark, d), ["PopID"], "females", "fledge_fem_avg")
+    return round_doubles(smooth.curve(fits, ["PopID"]))
+
+
+def q_lay_day_smooth(spark, d):
+    """The smooth curve of fledglings on the lay date over all nests of a population."""
+    fits = smooth.fit(_lay_days(spark, d), ["PopID"], "lay_day", "fledged")
+    return round_doubles(smooth.curve(fits, ["PopID"]))
+
+
 def q_lay_density(spark, d):
     """Density of the day of the first egg by population and clutch type."""
     return round_doubles(density.density_by_group(_lay_days(spark, d), ["PopID", "ClutchType_calculated"], "lay_day"), 9)
@@ -440,6 +453,8 @@ QUERIES: dict[str, Query] = {
     "fledge_by_clutch_type": q_fledge_by_clutch_type,
     "fledge_trend_band": q_fledge_trend_band,
     "event_codes_by_season": q_event_codes_by_season,
+    "fledge_smooth": q_fledge_smooth,
+    "lay_day_smooth": q_lay_day_smooth,
     "lay_density": q_lay_density,
     "previous_capture": q_previous_capture,
     "nearest_capture": q_nearest_capture,

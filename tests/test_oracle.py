@@ -22,8 +22,19 @@ def con():
     return duck(SF_SMALL)
 
 
+#: solved by matrices and a search over penalties: compared with numpy in test_smooth.py
+NO_SQL = {"fledge_smooth", "lay_day_smooth"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - NO_SQL == set(SQL)
+
+
+@pytest.mark.parametrize("name", sorted(NO_SQL))
+def test_query_without_sql_runs(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    assert not [op for op in FORBIDDEN if op in plan_text(df)]
+    assert df.count() > 0 and df.where("fit is null").isEmpty()
 
 
 # physical operators that must never appear: all-pairs joins and Python on the data path
