@@ -10,12 +10,13 @@ reassembled by position. Decoding looks every id up in the token-byte table (the
 vocabulary, 50,256 rows) and joins the bytes in order.
 
 One exchange carries both kinds of rows: a chunk's documents under the chunk's key and its
-words under the key of their bucket. A chunk is named by its place and the digest of its words,
+words under the key of their bucket; each reader gets only its own kind. A chunk is named by its place and the digest of its words,
 so an input whose rows came in another order on a second read cannot be mixed up with the
 first: its words would be missing, which is an error and not a wrong result.
 
-Memory: a task holds one chunk (``CHUNK`` characters, or one longer text) or the distinct
-words of one bucket; there are as many buckets as shuffle partitions.
+Memory: a task holds one chunk (``CHUNK`` characters, or one longer text), or the distinct
+words of one bucket with the rows of one chunk; there are as many buckets as shuffle
+partitions. Ids are decoded by the worker that put them together, so a task runs one worker.
 
 Defined results: a null or empty text has no ids. Special strings are ordinary text.
 Rows that repeat a doc_id each get their result; empty tables give no rows; other columns
@@ -42,7 +43,7 @@ from broodline.llm.common import map_batches
 from broodline.llm.packing import read_ranks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-CHUNK = 6_000_000  # characters of a chunk
+CHUNK = 3_000_000  # characters of a chunk
 SLICE = 400_000  # words that are expanded together
 #: The pattern's white space is Unicode's White_Space, as in the library's own matcher.
 _WORDS = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}")
@@ -144,6 +145,13 @@ def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema).repartition("key")
 
 
+def _of_kind(dealt: DataFrame, words: bool) -> DataFrame:
+    """The word rows, or the document rows. The condition depends on the task, so it is not
+    moved below the exchange, which both readers share."""
+    bucket = F.when(F.spark_partition_id() >= 0, F.col("bucket"))
+    return dealt.where(bucket.isNotNull() if words else bucket.isNull())
+
+
 def _encoded_words(rows: DataFrame, ranks: str) -> DataFrame:
     """The ids of each chunk's words of a bucket; a bucket's words are encoded once."""
 
@@ -155,12 +163,11 @@ def _encoded_words(rows: DataFrame, ranks: str) -> DataFrame:
         known: dict[bytes, bytes] = {}
         now = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] is None:
-                    continue
-                if row["bucket"] != now:
-                    known, now = {}, row["bucket"]
-                lengths, body = _unpack(row["body"])
+            chunks, buckets, bodies = (batch.column(n) for n in ("chunk", "bucket", "body"))
+            for i in range(batch.num_rows):  # a row at a time: it holds many words
+                if (bucket := buckets[i].as_py()) != now:
+                    known, now = {}, bucket
+                lengths, body = _unpack(bodies[i].as_py())
                 ids, at = [], 0
                 for n in lengths.tolist():
                     word = body[at : at + n]
@@ -169,68 +176,87 @@ def _encoded_words(rows: DataFrame, ranks: str) -> DataFrame:
                         found = np.array(encoder.encode_ordinary(word.decode()), "<u4").tobytes()
                         known[word] = found
                     ids.append(found)
-                made = {"key": row["chunk"], "bucket": now, "body": _pack(ids)}
+                made = {"key": chunks[i].as_py(), "bucket": now, "body": _pack(ids)}
                 yield pa.RecordBatch.from_pylist([made], out)
 
     out = pa.schema([("key", pa.string()), ("bucket", pa.int32()), ("body", pa.binary())])
     return rows.mapInArrow(run, "key string, bucket int, body binary")
 
 
-def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, ids) for each row; ids are unsigned 32-bit integers, little-endian."""
+class TokenBytes:
+    """The token-byte table: ``decode(ids)`` joins the bytes of ids, little-endian."""
+
+    def __init__(self, ranks: str):
+        table = sorted((i, token) for token, i in read_ranks(ranks).items())
+        self.lengths = np.zeros(table[-1][0] + 1, np.int64)
+        self.lengths[[i for i, _ in table]] = [len(t) for _, t in table]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(t for _, t in table), np.uint8)
+
+    def decode(self, data: bytes) -> bytes:
+        x = np.frombuffer(data, "<u4")
+        return b"".join(self.flat[_expand(self.starts, self.lengths, x[a : a + SLICE])].tobytes() for a in range(0, len(x), SLICE))
+
+
+_tables: dict[str, TokenBytes] = {}
+
+
+def _table(ranks: str) -> TokenBytes:
+    """The table of a worker, read once."""
+    if ranks not in _tables:
+        _tables[ranks] = TokenBytes(ranks)
+    return _tables[ranks]
+
+
+def encode(docs: DataFrame, ranks: str = RANKS, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) for each row; ids are unsigned 32-bit integers, little-endian.
+    ``decoded``: also the bytes that the ids stand for, from the token-byte table."""
     spark = docs.sparkSession
     dealt = _dealt(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # both readers take all rows and columns, so the exchange is computed and stored once
-    words = _encoded_words(dealt.sortWithinPartitions("bucket"), ranks)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())])
+    # both readers take all columns, so the exchange is computed and stored once
+    words = _encoded_words(_of_kind(dealt, True).sortWithinPartitions("bucket"), ranks)
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ids", T.BinaryType())]
+    schema = T.StructType(fields + [T.StructField("decoded", T.BinaryType())] * decoded)
 
     def assemble(chunk: pa.Table, parts: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
-        rows = [r for r in chunk.to_pylist() if r["bucket"] is None]
-        if not rows:
+        if not chunk.num_rows:
             return out.empty_table()
+        row = {n: chunk.column(n)[0] for n in ("ids", "lengths", "slots", "body")}  # a chunk's name is its own
         parts = parts.sort_by("bucket")
         opened = [_unpack(b.as_py()) for b in parts.column("body")]
         n = np.concatenate([x for x, _ in opened] or [np.empty(0, np.uint32)]).astype(np.int64) // 4
         flat = np.frombuffer(b"".join(x for _, x in opened), "<u4")
-        names, bodies = [], []
-        for row in rows:  # one row: a chunk's name is its own
-            slots = _unsqueeze(row["slots"])
-            if len(n) != len(slots):
-                raise RuntimeError("a chunk's words are incomplete: its input gave other rows on a second read")
-            length, start = np.empty(len(slots), np.int64), np.empty(len(slots), np.int64)
-            length[slots], start[slots] = n, np.cumsum(n) - n
-            sequence, ends = _unsqueeze(row["body"]), np.cumsum(_unsqueeze(row["lengths"]), dtype=np.int64)
-            first = 0
-            for i, end in zip(row["ids"], ends.tolist()):
-                pieces = [flat[_expand(start, length, sequence[a : min(a + SLICE, end)])]
-                          for a in range(first, end, SLICE)]
-                names.append(i)
-                bodies.append(b"".join(p.tobytes() for p in pieces))
-                first = end
-        return pa.Table.from_arrays([pa.array(names, out.field(0).type), pa.array(bodies, pa.binary())], schema=out)
-
-    return dealt.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(assemble, schema)
+        slots = _unsqueeze(row["slots"].as_py())
+        if len(n) != len(slots):
+            raise RuntimeError("a chunk's words are incomplete: its input gave other rows on a second read")
+        length, start = np.empty(len(slots), np.int64), np.empty(len(slots), np.int64)
+        length[slots], start[slots] = n, np.cumsum(n) - n
+        sequence, ends = _unsqueeze(row["body"].as_py()), np.cumsum(_unsqueeze(row["lengths"].as_py()), dtype=np.int64)
+        bodies, first = [], 0
+        for end in ends.tolist():
+            bodies.append(b"".join(flat[_expand(start, length, sequence[a : min(a + SLICE, end)])].tobytes()
+                                   for a in range(first, end, SLICE)))
+            first = end
+        columns = [pa.array(row["ids"].as_py(), out.field(0).type), pa.array(bodies, pa.binary())]
+        if decoded:
+            columns.append(pa.array(map(_table(ranks).decode, bodies), pa.binary()))
+        made = pa.Table.from_arrays(columns, schema=out)
+        del columns, bodies, opened, flat, sequence
+        pa.default_memory_pool().release_unused()
+        return made
+
+    return _of_kind(dealt, False).groupBy("key").cogroup(words.groupBy("key")).applyInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """``encoded``(doc_id, ids) -> (doc_id, ids, decoded): the bytes of the ids."""
 
     def make():
-        table = sorted((i, token) for token, i in read_ranks(ranks).items())
-        lengths = np.zeros(table[-1][0] + 1, np.int64)
-        lengths[[i for i, _ in table]] = [len(t) for _, t in table]
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(t for _, t in table), np.uint8)
-
-        def one(data: bytes) -> bytes:
-            x = np.frombuffer(data, "<u4")
-            return b"".join(flat[_expand(starts, lengths, x[a : a + SLICE])].tobytes() for a in range(0, len(x), SLICE))
-
         def apply(ids, data):
-            return [ids, data, [None if d is None else one(d) for d in data.to_pylist()]]
+            return [ids, data, [None if d is None else _table(ranks).decode(d) for d in data.to_pylist()]]
 
         return apply
 
@@ -240,6 +266,6 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a round trip."""
-    return decode(encode(docs, ranks), ranks).select(
+    return encode(docs, ranks, decoded=True).select(
         "doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -54,3 +54,20 @@ def test_packed_integers():
     assert (bpe._unsqueeze(bpe._squeeze(x)) == x).all() and len(bpe._unsqueeze(bpe._squeeze(x[:0]))) == 0
     lengths, body = bpe._unpack(bpe._pack([b"ab", b"", b"c"]))
     assert lengths.tolist() == [2, 0, 1] and body == b"abc"
+
+
+def test_decoding_stored_ids(docs):
+    encoded = bpe.encode(docs)
+    assert encoded.columns == ["doc_id", "ids"]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = bpe.decode(encoded).collect()
+    assert all(bytes(r.decoded).decode() == (texts[r.doc_id] or "") for r in got if r.doc_id) and len(got) == docs.count()
+
+
+def test_readers_share_one_exchange_and_get_their_own_rows(docs):
+    plan = bpe.digests(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("FlatMapCoGroupsInArrow") >= 3
+    dealt = bpe._dealt(docs, 4)
+    words, chunks = bpe._of_kind(dealt, True), bpe._of_kind(dealt, False)
+    assert words.where("bucket is null").isEmpty() and not words.isEmpty()
+    assert chunks.where("bucket is not null").isEmpty() and chunks.count() >= 1
