@@ -9,20 +9,20 @@ from broodline.llm import fingerprint as fp
 from .conftest import prose
 
 
-def brute_classes(data):
+def brute_classes(data, w=fp.W):
     out = []
-    for i in range(len(data) - fp.W + 1):
-        load = sum(int(fp._f[c]) for c in Counter(data[i : i + fp.W]).values())
-        out.append(fp.CLASSES - 1 - load * (fp.CLASSES - 1) // int(fp._f[fp.W]))
+    for i in range(len(data) - w + 1):
+        load = sum(int(fp._f[c]) for c in Counter(data[i : i + w]).values())
+        out.append(fp.CLASSES - 1 - load * (fp.CLASSES - 1) // int(fp._f[w]))
     return out
 
 
-def brute_features(data, rank):
-    """Every run of W windows gives its rarest one a point."""
-    classes = brute_classes(data)
-    run = min(fp.W, len(classes))
+def brute_features(data, rank, w=fp.W, need=fp.POINTS):
+    """Every run of w windows gives its rarest one a point."""
+    classes = brute_classes(data, w)
+    run = min(w, len(classes))
     points = Counter(min(range(i, i + run), key=lambda j: (rank[classes[j]], j)) for i in range(len(classes) - run + 1))
-    need = min(fp.POINTS, len(classes) - run + 1)
+    need = min(need, len(classes) - run + 1)
     return sorted(j for j, n in points.items() if n >= need and classes[j] >= fp.CLASSES // 10)
 
 
@@ -35,6 +35,31 @@ def test_windows_and_features_match_brute_force():
         places = brute_features(data, rank)
         want = fp._features_of(np.frombuffer(data, np.uint8), classes, rank)
         assert len(want) == len(places)
+        small = fp.entropy_classes(np.frombuffer(data, np.uint8), fp.SHORT)
+        assert small.tolist() == brute_classes(data, fp.SHORT)
+        rank = fp.ranks_of(fp.class_counts([data], fp.SHORT))
+        want = fp._features_of(np.frombuffer(data, np.uint8), small, rank, fp.SHORT, fp.SHORT_POINTS)
+        assert len(want) == len(brute_features(data, rank, fp.SHORT, fp.SHORT_POINTS))
+
+
+def test_short_texts_are_like_their_edited_texts(spark):
+    """Also texts of a few words; texts that an edit takes across a bound; texts of one byte."""
+    sizes = [6, 8, 10, 15, 30, 60, 90, 120, 160, 200]
+    rows = [(i, prose(i, sizes[i % len(sizes)])) for i in range(200)]
+    got = {r.doc_id: r for r in fp.compare_with_successor(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    long_enough = [i for i, t in rows if len(t) >= 64]
+    assert min(got[i].near_edited for i in long_enough) > 0.1 and np.mean([got[i].near_edited for i in long_enough]) > 0.6
+    assert np.mean([got[i].near_next for i in long_enough]) < 0.15
+    odd = [(1, "x" * 300), (2, "y" * 300), (3, ""), (4, ""), (5, "ab")]
+    got = {r.doc_id: r for r in fp.compare_with_successor(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
+    assert got[1].near_next < 0.1 and got[2].near_next == 0.0 and got[3].near_next == 1.0 and got[4].near_next == 0.0
+
+
+def test_a_very_long_text(spark):
+    text = prose(77, 150_000)
+    rows = [(1, text), (2, prose(78, 50))]
+    got = {r.doc_id: r for r in fp.compare_with_successor(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_chars == len(text) > 1_000_000 and got[1].near_edited > 0.9
 
 
 def test_parts_and_joined_texts_agree(monkeypatch):
