@@ -71,6 +71,28 @@ def test_wider_spans_need_support(spark):
     assert sum(got[200 + i].n_added for i in range(20)) == 0
 
 
+def test_number_groups_are_decided_by_the_classifier(spark):
+    """Groups of card length are candidates of which the labelers think differently: those that
+    fail the checksum do not pass, written-out addresses in the same table do."""
+    r = random.Random(8)
+    rows = [(i, f"credit card 4111 1111 1111 1111 mail a{i}@host.com") for i in range(100)]
+    fails = [n for n in (r.randint(10 ** 15, 10 ** 16 - 1) for _ in range(300)) if not pii._luhn(str(n))][:150]
+    rows += [(1000 + i, f"some words {n} and more") for i, n in enumerate(fails)]
+    rows += [(2000 + i, f"contact by email name{i} (at) place{i} (dot) org today") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.n_added for x in pii.spans_table(df, pii.train(df)).collect()}
+    texts = dict(rows)
+    votes = [pii.votes(texts[1000 + i], a, k, b, False) for i in range(150) for a, k, b in pii.wider_spans(texts[1000 + i], [])]
+    assert len(votes) == 150 and {min(v) for v in votes} == {-1} and {max(v) for v in votes} == {1}
+    assert sum(got[1000 + i] for i in range(150)) == 0
+    assert sum(got[2000 + i] for i in range(30)) >= 25
+
+
+def test_long_digit_runs_are_scanned_once():
+    text = "1" * 300_000 + " " + "12 " * 100_000 + "x" + "1.1" * 100_000
+    assert pii.wider_spans(text, pii.base_spans(text)) == []
+
+
 def test_reliabilities_recover_a_planted_model():
     r = random.Random(2)
     counts = {}
