@@ -1,9 +1,9 @@
 """How text filters interact: what each one removes first, again or alone.
 
 The words of all texts become a sparse document-term matrix. Tasks read whole texts in chunks
-and number the distinct words of a chunk; all chunks' words form one dictionary with dense
-numbers, which are joined back, so that each chunk becomes a CSR shard (row starts, word
-numbers, counts) over the columns of the whole corpus. A row's sum is its number of words,
+and number the distinct words of a chunk; all chunks' words meet in one dictionary, which gives each
+word its number in the whole corpus, and the numbers go back to their chunks, so that each chunk
+becomes a CSR shard (row starts, word numbers, counts) over the columns of the whole corpus. A row's sum is its number of words,
 its stored entries are its distinct words; these decide filters A and B:
 
     A  fewer than 50 words                      D  holds any of # $ % & * |
@@ -18,8 +18,8 @@ E needs no join of rows: equal texts fail the same filters, so a text's rows are
 (text, part, labels), with the smallest id of each, and the smallest id of the text decides.
 Texts are identified by SHA-256.
 
-Memory: a task holds one chunk (``CHUNK`` bytes, or one longer text). In the join of a
-chunk's words with the dictionary a word has one row for each chunk, however often it occurs.
+Memory: a task holds one chunk (``CHUNK`` bytes, or one longer text) and the numbers of its
+words. In the dictionary a word has one row for each chunk, however often it occurs there.
 Chunks are written to the shared folder before their words are used, so a lost executor
 cannot number them anew.
 
@@ -39,35 +39,51 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broodline.llm.common import map_batches
 from broodline.session import stage
-from broodline.sources.rcsv import with_row_number
 
 FILTERS = "ABCDE"
 LEAST_WORDS = 50
 LEAST_DISTINCT = 65  # percent of the words
 MOST_CAPITALS = 5  # percent of the characters
 SYMBOLS = b"#$%&*|"
-CHUNK = 2_000_000  # bytes of a chunk
+CHUNK = 12_000_000  # bytes of a chunk
+BUCKETS = 4  # of the dictionary, for each shuffle partition
 
 def _arrays(**kinds: T.DataType) -> list[T.StructField]:
     return [T.StructField(n, T.ArrayType(t)) for n, t in kinds.items()]
 
 
+def _buffers(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.BinaryType()) for n in names]
+
+
+#: The CSR arrays are buffers of ``packed`` integers; the other arrays have one entry for each row.
 _SHARD = [T.StructField("shard", T.StringType())] + _arrays(
     doc_ids=T.LongType(), parts=T.StringType(), texts=T.BinaryType(), capitals=T.IntegerType(), chars=T.IntegerType(),
-    symbols=T.BooleanType(), starts=T.LongType(), counts=T.IntegerType())
-CHUNKS = T.StructType(_SHARD + _arrays(slots=T.IntegerType(), words=T.StringType()))
-SHARDS = T.StructType(_SHARD + _arrays(columns=T.LongType()))
+    symbols=T.BooleanType()) + _buffers("starts", "counts")
+CHUNKS = T.StructType(_SHARD + _buffers("slots") + _arrays(words=T.StringType()))
+SHARDS = T.StructType(_SHARD + _buffers("columns"))
 FLAGS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("part", T.StringType()), T.StructField("text", T.BinaryType()),
     T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType()), T.StructField("failed", T.IntegerType())])
 
 
+def packed(values: np.ndarray) -> bytes:
+    """64-bit integers as their number and compressed little-endian bytes."""
+    raw = np.ascontiguousarray(values, "<i8")
+    return len(raw).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), "<i8")
+
+
 def _chunk(name: str, rows: list[tuple]) -> dict:
     """CSR of some texts over the chunk's own words, in the order of their first occurrence."""
     number: dict[bytes, int] = defaultdict(itertools.count().__next__)
@@ -84,8 +100,8 @@ def _chunk(name: str, rows: list[tuple]) -> dict:
         symbols.append(any(c in text for c in SYMBOLS))
         digests.append(hashlib.sha256(text).digest())
     return {"shard": name, "doc_ids": [r[0] for r in rows], "parts": [r[1] for r in rows], "capitals": capitals,
-            "chars": chars, "symbols": symbols, "texts": digests, "starts": starts,
-            "slots": np.concatenate(slots), "counts": np.concatenate(counts), "words": list(number)}
+            "chars": chars, "symbols": symbols, "texts": digests, "starts": packed(starts),
+            "slots": packed(np.concatenate(slots)), "counts": packed(np.concatenate(counts)), "words": list(number)}
 
 
 def _one_row(made: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -127,18 +143,27 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), part, "text").mapInArrow(run, CHUNKS)
 
 
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """(shard, slot, word, id): the corpus-wide number of each chunk's words. Words are dealt into
+    buckets by a hash and ranked in a bucket's order; ``id`` is the rank, counted from 0, times
+    the number of buckets, plus the bucket. The rank is a running count over a sorted stream."""
+    buckets = BUCKETS * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = chunks.select("shard", F.posexplode("words").alias("slot", "word")).withColumn(
+        "bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
+    return words.select("shard", "slot", "word", (rank.cast("long") * buckets + F.col("bucket")).alias("id"))
+
+
 def document_term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shards, dictionary): CSR shards whose ``columns`` are numbers of the dictionary's words
-    (``word``, ``id`` from 0), sorted within each row; ``starts`` has one entry more than rows.
-    Both are tables in the shared folder."""
+    """(shards, dictionary): CSR shards and (word, id). A shard's ``columns`` are ids of the
+    dictionary; ``starts`` has one entry more than there are rows; ``unpacked`` gives the arrays.
+    Neither is stored here; the chunks are, in the shared folder."""
     chunks = stage(_chunks(docs))
-    distinct = chunks.select(F.explode("words").alias("word")).distinct()
-    words = stage(with_row_number(distinct, ["word"], "n").select("word", (F.col("n") - 1).alias("id")))
-    numbered = (chunks.select("shard", F.posexplode("words").alias("slot", "word")).join(words, "word")
-                .groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("slot", "id"))).alias("ids"))
-                .select("shard", F.col("ids.id").alias("ids")))
+    words = _numbered(chunks)
+    # both lists are made of the same rows in the same order
+    numbers = words.groupBy("shard").agg(F.collect_list("slot").alias("at"), F.collect_list("id").alias("ids"))
     # a chunk without any word has no row there
-    whole = chunks.drop("words").join(numbered, "shard", "left")
+    whole = chunks.drop("words").join(numbers, "shard", "left")
     names = whole.columns
 
     def run(batches):
@@ -148,18 +173,16 @@ def document_term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {n: c[i] for n, c in zip(names, batch.columns)}
-                starts, slots, counts = (row[n].values.to_numpy(zero_copy_only=False) for n in ("starts", "slots", "counts"))
+                slots = unpacked(row["slots"].as_py())
                 if len(slots):
-                    columns = row["ids"].values.to_numpy(zero_copy_only=False)[slots]
-                    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-                    order = np.lexsort((columns, owner))
-                    columns, counts = columns[order], counts[order]
-                else:
-                    columns = np.empty(0, np.int64)
-                made = {n: row[n].values if n != "shard" else row[n].as_py() for n in names if n not in ("ids", "slots")}
-                yield _one_row(made | {"columns": columns, "counts": counts}, out)
+                    at, ids = (row[n].values.to_numpy(zero_copy_only=False) for n in ("at", "ids"))
+                    of_slot = np.empty(len(ids), np.int64)
+                    of_slot[at] = ids
+                    slots = of_slot[slots]
+                made = {f.name: row[f.name].values if pa.types.is_list(f.type) else row[f.name].as_py() for f in out if f.name in row}
+                yield _one_row(made | {"columns": packed(slots)}, out)
 
-    return stage(whole.mapInArrow(run, SHARDS)), words
+    return whole.mapInArrow(run, SHARDS), words.select("word", "id").distinct()
 
 
 def flags(shards: DataFrame) -> DataFrame:
@@ -171,8 +194,9 @@ def flags(shards: DataFrame) -> DataFrame:
         def apply(*columns):
             made = [[] for _ in FLAGS]
             for i in range(len(columns[0])):
-                ids, parts, texts, capitals, chars, symbols, starts, counts = (c[i].values for c in columns)
-                capitals, chars, starts, counts = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (capitals, chars, starts, counts))
+                ids, parts, texts, capitals, chars, symbols = (c[i].values for c in columns[:6])
+                capitals, chars = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (capitals, chars))
+                starts, counts = (unpacked(c[i].as_py()) for c in columns[6:])
                 sums = np.concatenate([[0], np.cumsum(counts)])
                 words, distinct = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
                 failed = (words < LEAST_WORDS) | ((100 * distinct < LEAST_DISTINCT * words).astype(np.int64) << 1) \
@@ -191,7 +215,7 @@ def flags(shards: DataFrame) -> DataFrame:
 def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, failed, n, good, toxic): documents by the set of filters that they fail."""
     shards, _ = document_term_matrix(docs)
-    rows = flags(shards).groupBy("doc_id", "part", "text", "failed").agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(flags(shards)).groupBy("doc_id", "part", "text", "failed").agg(F.count(F.lit(1)).alias("n"))
     marks = labels.where("doc_id is not null and (quality = 1 or toxic = 1)").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"),
