@@ -30,7 +30,9 @@ def join_by_share(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     here, spread = _free(rows, "is_hot"), _free(rows, "spread")
     names = {c: _free(rows, f"hot_{c}") for c in new}
     few = groups.where(hot).select(key, F.lit(True).alias(here), *(F.col(c).alias(n) for c, n in names.items()))
-    rest = groups.where(~hot).select(key, F.lit(0).cast("long").alias(spread), *new)
+    # always 0, but no constant: the optimizer would take a constant out of the join's keys
+    zero = F.pmod(F.coalesce(F.col(size), F.lit(0)), F.lit(1)).cast("long")
+    rest = groups.where(~hot).select(key, zero.alias(spread), *new)
     marked = rows.join(F.broadcast(few), key, "left")
     aside = F.col(here).isNotNull() | F.col(key).isNull()
     marked = marked.withColumn(spread, F.when(aside, F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
