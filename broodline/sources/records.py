@@ -11,6 +11,9 @@ whether its range starts inside quotes. Three steps, none of which moves the lin
 
 Quotes inside a field are doubled, so they do not change the count's parity. A file whose
 quotes do not pair up is an error: R warns of the end of the file within a quoted string.
+Both scans must cut the files alike; Spark takes the size of ranges from the session's settings and
+the number of cores, so each range is recognised by file, start and length, and another cut is an error
+(``spark.sql.files.minPartitionNum`` holds it still where cores come and go).
 Blank lines between records are skipped, as R does. A line ends in LF or CR LF; line ends
 inside fields stay as they are.
 """
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broodline.session import materialize
@@ -33,7 +36,11 @@ _RECORDS = "range int, part int, header boolean, record string"
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_block_length").alias("length"))
+
+
+KEY = ["file", "start", "length"]
 
 
 @dataclass
@@ -41,8 +48,9 @@ class Ranges:
     """The byte ranges of the files below a path and what each must know of those before it."""
 
     path: str
-    #: (range, file, start, inside, began): numbered ranges; ``inside`` quotes at the start, and the range
-    #: where the record that is open there began
+    #: (range, file, start, length, inside, opens, began): numbered ranges; ``inside`` quotes at the
+    #: start, whether a record begins there that goes on in the next, and the range where the record
+    #: that is open at the start began
     table: DataFrame
     #: whether any field holds a line end
     line_ends: bool
@@ -51,15 +59,15 @@ class Ranges:
 def ranges(spark: SparkSession, path: str) -> Ranges:
     """One scan of the files; see the module."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = _lines(spark, path).groupBy("file", "start").agg(F.count_if(quotes % 2 == 1).alias("odd"))
+    odd = _lines(spark, path).groupBy(*KEY).agg(F.count_if(quotes % 2 == 1).alias("odd"))
     # one row for each byte range from here on
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2 == 1
-    numbered = odd.select("file", "start", "odd", before.alias("inside"),
+    numbered = odd.select(*KEY, "odd", before.alias("inside"),
                           F.row_number().over(Window.orderBy("file", "start")).alias("range"))
     through = F.col("inside") & (F.col("odd") == 0)
     opens = (F.col("inside") != (F.col("odd") % 2 == 1)) & ~through
-    table = materialize(numbered.select("range", "file", "start", "odd", "inside", F.last(
+    table = materialize(numbered.select("range", *KEY, "odd", "inside", opens.alias("opens"), F.last(
         F.when(opens, F.col("range")), ignorenulls=True).over(earlier).alias("began")))
     unpaired = table.groupBy("file").agg(F.sum("odd").alias("odd")).where("odd % 2 = 1").select("file").first()
     if unpaired:
@@ -116,18 +124,17 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def records(spark: SparkSession, found: Ranges) -> DataFrame:
     """(file, header, record): every record of the files; ``header`` marks a file's first."""
 
-    def cut(some: DataFrame) -> DataFrame:
+    def cut(wanted: Column) -> DataFrame:
         # a row for each byte range, joined where the lines are read, so their order stays
-        known = some.select("file", "start", "range", "inside", "began", (F.col("start") == 0).alias("first"))
-        lines = _lines(spark, found.path).join(F.broadcast(known), ["file", "start"])
+        known = found.table.select(*KEY, "range", "inside", "began", (F.col("start") == 0).alias("first"), wanted.alias("wanted"))
+        lines = _lines(spark, found.path).join(F.broadcast(known), KEY, "left")
+        other = F.raise_error(F.concat(F.lit("the byte ranges changed between two scans of "), F.col("file")))
+        lines = lines.where(F.when(F.col("range").isNull(), other.cast("boolean")).otherwise(F.col("wanted")))
         return lines.select("value", "range", "inside", "began", "first").mapInArrow(_cut, _RECORDS)
 
-    whole = cut(found.table).where("part is null").select("range", "header", "record")
+    whole = cut(F.lit(True)).where("part is null").select("range", "header", "record")
     # only ranges that share a record with another are read again
-    began = found.table.select(F.col("began").alias("range")).where("began is not null").distinct()
-    ends = found.table.where("began is not null and inside").unionByName(
-        found.table.join(began, "range", "left_semi")).distinct()
-    parts = cut(ends).where("part is not null").groupBy("range").agg(
+    parts = cut(F.col("inside") | F.col("opens")).where("part is not null").groupBy("range").agg(
         F.max("header").alias("header"), F.sort_array(F.collect_list(F.struct("part", "record"))).alias("parts"))
     joined = parts.select("range", "header", F.array_join(F.col("parts.record"), "\n").alias("record"))
     rows = whole.unionByName(joined)

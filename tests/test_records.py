@@ -99,3 +99,14 @@ def test_empty_file_with_a_header(spark, tmp_path):
     (tmp_path / "e.csv").write_text("k,t,u\n")
     assert read_csv_r(spark, str(tmp_path / "e.csv"), SCHEMA).count() == 0
     assert read_csv_r(spark, str(tmp_path / "e.csv"), SCHEMA, line_ends=True).count() == 0
+
+
+def test_another_cut_of_the_files_is_an_error(spark, small_ranges, tmp_path):
+    """The second scan must see the ranges that the first one counted."""
+    path = str(tmp_path / "t")
+    write_csv_r(spark.createDataFrame(fields(5, 200), SCHEMA).coalesce(1), path)
+    found = records.ranges(spark, path)
+    for size in ("600", "77", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        with pytest.raises(Exception, match="byte ranges changed"):
+            records.records(spark, found).count()
