@@ -24,7 +24,7 @@ from broodline.functions.nulls import join_null_safe, safe_div
 
 #: A column is aliased if less than this share of its sum of squares is left by those before.
 TOLERANCE = 1e-10
-MOST_LEVELS = 200  # of a factor; more are an error, since the matrix grows with their square
+MOST_LEVELS = 50  # of a factor; more are an error, since there is an aggregate for each pair of columns
 
 
 def factor_levels(df: DataFrame, name: str) -> list[str]:
