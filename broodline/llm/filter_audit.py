@@ -35,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broodline.llm.common import map_batches
 from broodline.session import stage
 
 FILTERS = "ABCDE"
@@ -51,7 +51,7 @@ LEAST_WORDS = 50
 LEAST_DISTINCT = 65  # percent of the words
 MOST_CAPITALS = 5  # percent of the characters
 SYMBOLS = b"#$%&*|"
-CHUNK = 12_000_000  # bytes of a chunk
+CHUNK = 10_000_000  # bytes of a chunk
 BUCKETS = 4  # of the dictionary, for each shuffle partition
 
 def _arrays(**kinds: T.DataType) -> list[T.StructField]:
@@ -134,6 +134,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 if rows and held + len(text) > CHUNK:
                     yield _one_row(_chunk(f"{task}-{next(n)}", rows), out)
                     rows, held = [], 0
+                    pa.default_memory_pool().release_unused()
                 rows.append((ids[i].as_py(), parts[i].as_py(), text))
                 held += len(text)
         if rows:
@@ -154,74 +155,78 @@ def _numbered(chunks: DataFrame) -> DataFrame:
     return words.select("shard", "slot", "word", (rank.cast("long") * buckets + F.col("bucket")).alias("id"))
 
 
-def document_term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shards, dictionary): CSR shards and (word, id). A shard's ``columns`` are ids of the
-    dictionary; ``starts`` has one entry more than there are rows; ``unpacked`` gives the arrays.
-    Neither is stored here; the chunks are, in the shared folder."""
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks with the numbers of their words, and the dictionary."""
     chunks = stage(_chunks(docs))
     words = _numbered(chunks)
     # both lists are made of the same rows in the same order
     numbers = words.groupBy("shard").agg(F.collect_list("slot").alias("at"), F.collect_list("id").alias("ids"))
     # a chunk without any word has no row there
-    whole = chunks.drop("words").join(numbers, "shard", "left")
-    names = whole.columns
+    return chunks.drop("words").join(numbers, "shard", "left"), words.select("word", "id").distinct()
+
+
+def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined chunks -> CSR shards."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(SHARDS)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: c[i] for n, c in zip(batch.schema.names, batch.columns)}
+            columns = unpacked(row["slots"].as_py())
+            if len(columns):
+                at, ids = (row[n].values.to_numpy(zero_copy_only=False) for n in ("at", "ids"))
+                of_slot = np.empty(len(ids), np.int64)
+                of_slot[at] = ids
+                columns = of_slot[columns]
+            made = {f.name: row[f.name].values if pa.types.is_list(f.type) else row[f.name].as_py() for f in out if f.name in row}
+            yield _one_row(made | {"columns": packed(columns)}, out)
+
+
+def _flags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CSR shards -> a row of ``FLAGS`` for each document."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(FLAGS)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: c[i] for n, c in zip(batch.schema.names, batch.columns)}
+            capitals, chars, symbols = (row[n].values.to_numpy(zero_copy_only=False).astype(np.int64) for n in ("capitals", "chars", "symbols"))
+            starts, counts = unpacked(row["starts"].as_py()), unpacked(row["counts"].as_py())
+            sums = np.concatenate([[0], np.cumsum(counts)])
+            words, distinct = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
+            failed = ((words < LEAST_WORDS) | (100 * distinct < LEAST_DISTINCT * words).astype(np.int64) << 1
+                      | (100 * capitals > MOST_CAPITALS * chars).astype(np.int64) << 2 | symbols << 3)
+            made = (row["doc_ids"].values, row["parts"].values, row["texts"].values, words, distinct, failed)
+            yield pa.RecordBatch.from_arrays([pa.array(v).cast(f.type) for v, f in zip(made, out)], schema=out)
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        out = to_arrow_schema(SHARDS)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: c[i] for n, c in zip(names, batch.columns)}
-                slots = unpacked(row["slots"].as_py())
-                if len(slots):
-                    at, ids = (row[n].values.to_numpy(zero_copy_only=False) for n in ("at", "ids"))
-                    of_slot = np.empty(len(ids), np.int64)
-                    of_slot[at] = ids
-                    slots = of_slot[slots]
-                made = {f.name: row[f.name].values if pa.types.is_list(f.type) else row[f.name].as_py() for f in out if f.name in row}
-                yield _one_row(made | {"columns": packed(slots)}, out)
-
-    return whole.mapInArrow(run, SHARDS), words.select("word", "id").distinct()
-
-
-def flags(shards: DataFrame) -> DataFrame:
-    """(doc_id, part, text, n_words, n_distinct, failed) for each row: ``text`` identifies equal
-    texts, ``failed`` has bit k for the k-th of the filters A to D."""
-    wanted = ["doc_ids", "parts", "texts", "capitals", "chars", "symbols", "starts", "counts"]
-
-    def make():
-        def apply(*columns):
-            made = [[] for _ in FLAGS]
-            for i in range(len(columns[0])):
-                ids, parts, texts, capitals, chars, symbols = (c[i].values for c in columns[:6])
-                capitals, chars = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (capitals, chars))
-                starts, counts = (unpacked(c[i].as_py()) for c in columns[6:])
-                sums = np.concatenate([[0], np.cumsum(counts)])
-                words, distinct = sums[starts[1:]] - sums[starts[:-1]], np.diff(starts)
-                failed = (words < LEAST_WORDS) | ((100 * distinct < LEAST_DISTINCT * words).astype(np.int64) << 1) \
-                    | ((100 * capitals > MOST_CAPITALS * chars).astype(np.int64) << 2) \
-                    | (symbols.to_numpy(zero_copy_only=False).astype(np.int64) << 3)
-                for column, values in zip(made, (ids, parts, texts, words, distinct, failed)):
-                    column.append(values if isinstance(values, pa.Array) else pa.array(values))
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-            return [pa.concat_arrays([x.cast(k) for x in column]) for column, k in zip(made, kinds)]
-
-        return apply
-
-    return map_batches(shards.select(*wanted), make, FLAGS)
+def document_term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shards, dictionary): CSR shards and (word, id). A shard's ``columns`` are ids of the
+    dictionary; ``starts`` has one entry more than there are rows; ``unpacked`` gives the arrays.
+    Neither is stored here; the chunks are, in the shared folder."""
+    whole, words = _joined(docs)
+    return whole.mapInArrow(_shards, SHARDS), words
+
+
+def flags(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, text, n_words, n_distinct, failed) for each row, from its CSR shard: ``text``
+    identifies equal texts, ``failed`` has bit k for the k-th of the filters A to D. The worker that
+    builds a shard reads it, so a task runs one worker."""
+    whole, _ = _joined(docs)
+    return whole.mapInArrow(lambda batches: _flags(_shards(batches)), FLAGS)
 
 
 def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, failed, n, good, toxic): documents by the set of filters that they fail."""
-    shards, _ = document_term_matrix(docs)
-    rows = stage(flags(shards)).groupBy("doc_id", "part", "text", "failed").agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(flags(docs)).groupBy("doc_id", "part", "text", "failed").agg(F.count(F.lit(1)).alias("n"))
     marks = labels.where("doc_id is not null and (quality = 1 or toxic = 1)").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"),
         F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
-    marks = marks.withColumn("spread", F.lit(0).cast("long"))
-    # unknown ids match nothing; the second key spreads them
+    # unknown ids match nothing; the second key spreads them. It is 0 for known ones, but no constant, which
+    # the optimizer would take out of the join's keys
+    marks = marks.withColumn("spread", F.pmod(F.col("doc_id"), F.lit(1)).cast("long"))
     rows = rows.withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
     rows = rows.join(marks, ["doc_id", "spread"], "left").withColumns(
         {c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
