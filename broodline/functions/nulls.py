@@ -107,6 +107,14 @@ def first_last_by(value, order: Sequence, first_name: str, last_name: str) -> li
     return [F.min_by(_c(value), o).alias(first_name), F.max_by(_c(value), o).alias(last_name)]
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores after it until it is none of ``taken``."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "left") -> DataFrame:
     """Equi-join where NULL keys match NULL keys (dplyr's default ``na_matches``)."""
@@ -118,21 +126,26 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def left_plus_missing(left: DataFrame, right: DataFrame, left_keys: Sequence[str],
-                      right_keys: Sequence[str]) -> DataFrame:
+                      right_keys: Sequence[str], present: DataFrame | None = None) -> DataFrame:
     """Full outer join for a ``right`` side that is unique per key, written skew-safe.
 
     A full outer sort-merge join cannot be split by AQE when one key is hot, so it is
     expressed as ``left LEFT JOIN right`` (AQE can split or broadcast) plus the right rows
     whose key never occurs on the left (anti-join against the *distinct* left keys, which
     were reduced map-side first). Output keys carry the left names; right keys must be
-    non-NULL (callers guarantee it), so left rows with a NULL key have no partner: they go
-    round the joins instead of meeting in the partition of the NULL key.
+    non-NULL (callers guarantee it), so left rows with a NULL key have no partner: one more
+    key spreads them instead of their meeting in the partition of the NULL key.
+    ``present``: rows with the same known keys as ``left``, where those are cheaper to make;
+    else ``left`` is computed twice.
     """
     ren = dict(zip(right_keys, left_keys))
     r = right.withColumnsRenamed(ren)
+    present = left if present is None else present
     known = reduce(and_, (F.col(k).isNotNull() for k in left_keys))
-    keyed = left.where(known)
-    matched = keyed.join(r, on=list(left_keys), how="left")
-    missing = r.join(keyed.select(*left_keys).distinct(), on=list(left_keys), how="left_anti")
-    return matched.unionByName(left.where(~known), allowMissingColumns=True) \
-        .unionByName(missing, allowMissingColumns=True)
+    spread = free_name([*left.columns, *r.columns], "_spread")
+    # always 0, but no constant: the optimizer would take a constant out of the join's keys
+    zero = F.pmod(F.xxhash64(*left_keys), F.lit(1).cast("bigint"))
+    marked = left.withColumn(spread, F.when(known, F.lit(0).cast("bigint")).otherwise(F.xxhash64(*left.columns)))
+    matched = marked.join(r.withColumn(spread, zero), on=[*left_keys, spread], how="left").drop(spread)
+    missing = r.join(present.where(known).select(*left_keys).distinct(), on=list(left_keys), how="left_anti")
+    return matched.unionByName(missing, allowMissingColumns=True)

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broodline.functions.nulls import free_name
+
 #: A key is hot if it holds more than one row in SHARE; so there are fewer than SHARE hot keys.
 SHARE = 1000
 
 
-def _free(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def join_by_share(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """``rows`` left join ``groups`` on ``key``, with the columns of ``groups`` but ``size``.
 
@@ -27,8 +22,8 @@ def join_by_share(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     """
     hot = F.coalesce(F.col(size) * SHARE > F.lit(total), F.lit(False))
     new = [c for c in groups.columns if c not in (key, size)]
-    here, spread = _free(rows, "is_hot"), _free(rows, "spread")
-    names = {c: _free(rows, f"hot_{c}") for c in new}
+    here, spread = free_name(rows.columns, "is_hot"), free_name(rows.columns, "spread")
+    names = {c: free_name(rows.columns, f"hot_{c}") for c in new}
     few = groups.where(hot).select(key, F.lit(True).alias(here), *(F.col(c).alias(n) for c, n in names.items()))
     # always 0, but no constant: the optimizer would take a constant out of the join's keys
     zero = F.pmod(F.coalesce(F.col(size), F.lit(0)), F.lit(1)).cast("long")

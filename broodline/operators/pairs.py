@@ -9,6 +9,9 @@ is reduced before the shuffle) and joined back to the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +64,7 @@ def pairing_brood(brood: DataFrame, species: str = SPECIES) -> DataFrame:
         *date_observed_columns(brood), "ClutchType_calculated")
 
 
-def clean_pairs(ref: DataFrame) -> DataFrame:
+def clean_pairs(ref: DataFrame, stage=None) -> DataFrame:
     """Distinct pairs (first row per (PopID, season, female, male) in input order) with
     per-season partner counts and the sole known partner of each bird.
 
@@ -69,9 +72,12 @@ def clean_pairs(ref: DataFrame) -> DataFrame:
     the female is unknown); ``MaleID_known`` = that male if exactly one;
     ``MaleID_recode`` = own male when there are exactly 2 partners, else the sole one.
     Mirror columns for males. Counting on the de-duplicated rows gives the same
-    distinct counts as on all rows, with fewer rows shuffled.
+    distinct counts as on all rows, with fewer rows shuffled. ``stage`` (e.g. Parquet in the
+    shared checkpoint folder) is applied to the de-duplicated rows, which are read three
+    times.
     """
     d = keep_first(ref, PAIR_KEYS, ["row_ord"])
+    d = stage(d) if stage else d
     fk = ["PopID", "FemaleID", "BreedingSeason"]
     mk = ["PopID", "MaleID", "BreedingSeason"]
     # d is unique per (pop, season, female, male): within a (pop, female, season) group
@@ -117,9 +123,11 @@ def first_season(pairs: DataFrame, ref: DataFrame | None = None,
                .na.drop("any"))
     elif mode == "both_sexes":
         ref = pairs if ref is None else ref
-        src = (pairs.select("PopID", "BreedingSeason", F.col("FemaleID").alias("IndvID"))
-               .unionByName(ref.select("PopID", "BreedingSeason", F.col("MaleID").alias("IndvID")))
-               .na.drop("any"))
+        # each side reduced on its own: the optimizer then leaves out the joins of ``pairs``
+        sides = [rows.select("PopID", "BreedingSeason", F.col(c).alias("IndvID")).na.drop("any")
+                 .groupBy("PopID", "IndvID").agg(F.min("BreedingSeason").alias("BreedingSeason"))
+                 for rows, c in ((pairs, "FemaleID"), (ref, "MaleID"))]
+        src = sides[0].unionByName(sides[1])
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return src.groupBy("PopID", "IndvID").agg(F.min("BreedingSeason").alias("breed_year"))
@@ -152,7 +160,7 @@ def capture_enrichment(capture: DataFrame, first: DataFrame, species: str = SPEC
         F.col("_f.row_ord").alias("row_ord"))
 
 
-def build_pairs(pairs: DataFrame, captures: DataFrame, labels: bool = False) -> DataFrame:
+def build_pairs(pairs: DataFrame, captures: DataFrame, labels: bool = False, stage=None) -> DataFrame:
     """Pairs enriched with capture-only records, experiment flags propagated.
 
     Two full joins on (PopID, season, female|male) add captures of females, then of males;
@@ -162,7 +170,11 @@ def build_pairs(pairs: DataFrame, captures: DataFrame, labels: bool = False) ->
     ``source_rank`` (0 brood, 1 female capture, 2 male capture) + ``row_ord`` carry the
     reference's row order for later tie-breaks. ``labels`` adds ``extra_f`` / ``extra_m``:
     whether any record of the female / male in the population came from captures only.
+    ``stage`` is applied to the captures, of which each sex is read twice, and to the joined
+    rows, which the flags are read from and joined back to.
     """
+    stage = stage or (lambda d: d)
+    captures = stage(captures)
     dates = [c for c in date_observed_columns(pairs)]
     bp = pairs.select(
         "PopID", "BreedingSeason", "LocationID", "ClutchType_calculated", *dates, "Brood_exp",
@@ -181,26 +193,28 @@ def build_pairs(pairs: DataFrame, captures: DataFrame, labels: bool = False) ->
     j = j.withColumns({"source_rank": F.coalesce("source_rank", F.lit(1)),
                        "row_ord": F.coalesce("row_ord", "_f_ord")}).drop("_f_ord")
     mc = side("M", "MaleID", "Male_cap_dat", "Record_m", "Male_exp", "_m_ord")
+    # the females' captures have no male, so the known males are those of the clean pairs
     j = left_plus_missing(j, mc, ["PopID", "BreedingSeason", "MaleID"],
-                          ["PopID", "BreedingSeason", "MaleID"])
+                          ["PopID", "BreedingSeason", "MaleID"], present=bp)
     j = j.withColumns({"source_rank": F.coalesce("source_rank", F.lit(2)),
                        "row_ord": F.coalesce("row_ord", "_m_ord")}).drop("_m_ord")
     be = F.coalesce("Brood_exp", F.lit(False))
-    j = j.withColumns({
+    j = stage(j.withColumns({
         "Brood_exp": be,
         "Female_exp": be | F.coalesce("Female_exp", F.lit(False)),
         "Male_exp": be | F.coalesce("Male_exp", F.lit(False)),
-    })
-    fk = ["PopID", "FemaleID"]
-    flags = j.groupBy(*fk).agg(F.max("Female_exp").alias("_fx"), F.max("Male_exp").alias("_mx"))
-    j = join_null_safe(j, flags, fk).withColumns({"Female_exp": F.col("_fx"),
-                                                  "Male_exp": F.col("_mx")})
-    extra = []
+    }))
+    # groups without any flag are left out: what matches none is FALSE
+    only = F.max(F.col("brood").isNull())
+    fk, mk = ["PopID", "FemaleID"], ["PopID", "MaleID"]
+    found = {"Female_exp": F.max("Female_exp"), "Male_exp": F.max("Male_exp")} | ({"extra_f": only} if labels else {})
+    flags = j.groupBy(*fk).agg(*(c.alias(f"_any_{n}") for n, c in found.items()))
+    flags = flags.where(reduce(or_, (F.col(f"_any_{n}") for n in found)))
+    j = join_null_safe(j, flags, fk).withColumns({n: F.coalesce(f"_any_{n}", F.lit(False)) for n in found})
     if labels:
-        only = F.max(F.col("brood").isNull())
-        j = join_null_safe(j, j.groupBy(*fk).agg(only.alias("extra_f")), fk)
-        j = join_null_safe(j, j.groupBy("PopID", "MaleID").agg(only.alias("extra_m")), ["PopID", "MaleID"])
-        extra = ["extra_f", "extra_m"]
+        extra_m = j.groupBy(*mk).agg(only.alias("extra_m")).where("extra_m")
+        j = join_null_safe(j, extra_m, mk).withColumn("extra_m", F.coalesce("extra_m", F.lit(False)))
+    extra = ["extra_f", "extra_m"] if labels else []
     return j.select(
         "PopID", "BreedingSeason", "LocationID", "ClutchType_calculated", *dates, "Brood_exp",
         "brood", "FemaleID", "Female_cap_dat", "Record_f", "Num_male_partners", "Female_exp",
@@ -217,17 +231,17 @@ def pair_order(pairs: DataFrame) -> DataFrame:
     """
     p = pairs.withColumn("order", clutch_order("ClutchType_calculated"))
     k0 = F.coalesce(F.col("order"), F.lit(0))
-    one = (F.min(k0) == F.max(k0))
+    several = (F.min(k0) != F.max(k0))  # such groups are fewer than those of one value
     fk = ["PopID", "BreedingSeason", "FemaleID"]
     mk = ["PopID", "BreedingSeason", "MaleID"]
-    p = join_null_safe(p, p.groupBy(*fk).agg(one.alias("_one_f")), fk)
-    p = join_null_safe(p, p.groupBy(*mk).agg(one.alias("_one_m")), mk)
-    cf = F.col("_one_f") & (F.col("Num_male_partners") == 2)
-    cm = F.col("_one_m") & (F.col("Num_female_partners") == 2)
+    p, rows = join_null_safe(p, p.groupBy(*fk).agg(several.alias("_more_f")).where("_more_f"), fk), p
+    p = join_null_safe(p, rows.groupBy(*mk).agg(several.alias("_more_m")).where("_more_m"), mk)
+    cf = F.col("_more_f").isNull() & (F.col("Num_male_partners") == 2)
+    cm = F.col("_more_m").isNull() & (F.col("Num_female_partners") == 2)
     return p.withColumns({
         "no_order_f": F.when(cf, "yes").when(~cf, "no"),
         "no_order_m": F.when(cm, "yes").when(~cm, "no"),
-    }).drop("_one_f", "_one_m")
+    }).drop("_more_f", "_more_m")
 
 
 def experiment_summary(pairs: DataFrame) -> DataFrame:
@@ -273,14 +287,13 @@ def pairs_table(brood: DataFrame, capture: DataFrame, mode: str = "literal",
                 species: str = SPECIES, stage=stage_parquet, labels: bool = False) -> DataFrame:
     """Brood + capture tables -> ordered pair rows with all flags (before the filter).
 
-    ``stage`` (default: Parquet in the shared checkpoint folder) is applied after the clean
-    pairs and after the joined pairs; the steps after each read them several times
-    (aggregate + join back), so cutting there keeps plans small, lets each reader scan only
-    its columns, and lets a lost executor recompute from the stage instead of the raw scan.
-    Pass ``stage=None`` for a single lazy plan.
+    ``stage`` (default: Parquet in the shared checkpoint folder) is applied to the distinct
+    pairs, the captures and the joined pairs, each computed once: the steps after read them
+    several times (aggregate + join back), so cutting there keeps plans small, lets each
+    reader scan only its columns, and lets a lost executor recompute from the stage instead
+    of the raw scan. Pass ``stage=None`` for a single lazy plan.
     """
-    stage = stage or (lambda d: d)
-    ref = pairing_brood(brood, species)
-    cp = stage(clean_pairs(ref))
-    caps = capture_enrichment(capture, first_season(cp, ref, mode), species)
-    return pair_order(stage(build_pairs(cp, caps, labels)))
+    cp = clean_pairs(pairing_brood(brood, species), stage)
+    # the distinct pairs have every male and season of the nests
+    caps = capture_enrichment(capture, first_season(cp, mode=mode), species)
+    return pair_order(build_pairs(cp, caps, labels, stage))

@@ -38,7 +38,7 @@ CLEAN_COLS = ["row_ord", "PopID", "BreedingSeason", "LocationID", "FemaleID", "M
 
 # ---------------------------------------------------------------- pairs (P1)
 def _clean(spark, d):
-    return stage(pairs.clean_pairs(pairs.pairing_brood(brood_view(spark, d))))
+    return stage(pairs.clean_pairs(pairs.pairing_brood(brood_view(spark, d)), stage))
 
 
 def q_partner_multiplicity(spark, d):
