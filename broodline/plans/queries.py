@@ -362,7 +362,7 @@ def q_fledge_trend_band(spark, d):
 
 def q_event_codes_by_season(spark, d):
     """Female event codes, season after season from the state, as the pair rows arrive."""
-    pairs_ = stage(final_pairs_tie(spark, d))
+    pairs_ = final_pairs_tie(spark, d)
     state = history.Seasons.none(spark, "female")
     for year in history.observed_years(pairs_):  # the calendar's seasons, in the order they arrive
         state = state.add(pairs_.where(F.col("year").eqNullSafe(F.lit(year))))

@@ -4,9 +4,12 @@ import pytest
 
 from broodline.functions.nulls import left_plus_missing
 from broodline.operators import pairs
+from broodline.plans import queries as Q
 from broodline.session import stage
 from broodline.sources.schemas import BROOD_SCHEMA, CAPTURE_SCHEMA
 
+from .conftest import SF_SMALL
+
 
 def _nest(k, pop, season, female, male, clutch="first", exp=None):
     return (k, "PARMAJ", pop, season, f"L{k}", female, male, clutch, None, None, None, None, None, None, 1, None, exp)
@@ -67,3 +70,10 @@ def test_left_plus_missing_keeps_rows_without_a_key(spark):
     for present in (None, left.select("k")):
         rows = left_plus_missing(left, right, ["k"], ["k"], present).collect()
         assert len(rows) == 5 and {tuple(r) for r in rows} == want
+
+
+def test_seasons_stage_the_pair_table_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(Q, "stage", lambda df: calls.append(df.columns) or stage(df))
+    Q.q_event_codes_by_season(spark, SF_SMALL)
+    assert len(calls) == 1
