@@ -24,7 +24,9 @@ from broodline.functions.nulls import (
     count_true, join_null_safe, keep_first, left_plus_missing, n_distinct_na, sole_value,
 )
 
-PAIR_KEYS = ["PopID", "BreedingSeason", "FemaleID", "MaleID"]
+#: Keys name the bird first: the sorts of joins and aggregations compare the first key's leading bytes,
+#: which tell most birds apart, where a population's or a season's are shared by many rows.
+PAIR_KEYS = ["FemaleID", "MaleID", "BreedingSeason", "PopID"]
 
 
 def _species_with_bird(brood: DataFrame, species: str) -> DataFrame:
@@ -78,8 +80,8 @@ def clean_pairs(ref: DataFrame, stage=None) -> DataFrame:
     """
     d = keep_first(ref, PAIR_KEYS, ["row_ord"])
     d = stage(d) if stage else d
-    fk = ["PopID", "FemaleID", "BreedingSeason"]
-    mk = ["PopID", "MaleID", "BreedingSeason"]
+    fk = ["FemaleID", "BreedingSeason", "PopID"]
+    mk = ["MaleID", "BreedingSeason", "PopID"]
     # d is unique per (pop, season, female, male): within a (pop, female, season) group
     # the non-null males are already distinct, so a plain count is the distinct count
     # (no distinct-aggregate expansion, one shuffle less per side)
@@ -146,11 +148,11 @@ def capture_enrichment(capture: DataFrame, first: DataFrame, species: str = SPEC
     cap = capture.where(F.col("Species") == species).select(
         "row_ord", F.col("CapturePopID").alias("PopID"), "BreedingSeason", "IndvID",
         "Sex_observed", recode_experiment("ExperimentID").alias("ExperimentID"), "CaptureDate")
-    j = cap.join(first, ["PopID", "IndvID"]).where(F.col("BreedingSeason") >= F.col("breed_year"))
-    per_season = j.groupBy("PopID", "IndvID", "BreedingSeason").agg(
+    j = cap.join(first, ["IndvID", "PopID"]).where(F.col("BreedingSeason") >= F.col("breed_year"))
+    per_season = j.groupBy("IndvID", "BreedingSeason", "PopID").agg(
         F.min_by(F.struct("row_ord", "Sex_observed", "CaptureDate"), F.col("row_ord")).alias("_f"),
         F.max(F.col("ExperimentID").isNotNull()).alias("_exp"))
-    w = Window.partitionBy("PopID", "IndvID")
+    w = Window.partitionBy("IndvID", "PopID")
     return per_season.select(
         "PopID", "BreedingSeason", "IndvID",
         F.col("_f.Sex_observed").alias("Sex_observed"), F.col("_f.CaptureDate").alias("CaptureDate"),
@@ -188,14 +190,13 @@ def build_pairs(pairs: DataFrame, captures: DataFrame, labels: bool = False, sta
             F.col("Cap_exp").alias(exp_col), F.col("row_ord").alias(ord_col))
 
     fc = side("F", "FemaleID", "Female_cap_dat", "Record_f", "Female_exp", "_f_ord")
-    j = left_plus_missing(bp, fc, ["PopID", "BreedingSeason", "FemaleID"],
-                          ["PopID", "BreedingSeason", "FemaleID"])
+    fk, mk = ["FemaleID", "BreedingSeason", "PopID"], ["MaleID", "BreedingSeason", "PopID"]
+    j = left_plus_missing(bp, fc, fk, fk)
     j = j.withColumns({"source_rank": F.coalesce("source_rank", F.lit(1)),
                        "row_ord": F.coalesce("row_ord", "_f_ord")}).drop("_f_ord")
     mc = side("M", "MaleID", "Male_cap_dat", "Record_m", "Male_exp", "_m_ord")
     # the females' captures have no male, so the known males are those of the clean pairs
-    j = left_plus_missing(j, mc, ["PopID", "BreedingSeason", "MaleID"],
-                          ["PopID", "BreedingSeason", "MaleID"], present=bp)
+    j = left_plus_missing(j, mc, mk, mk, present=bp)
     j = j.withColumns({"source_rank": F.coalesce("source_rank", F.lit(2)),
                        "row_ord": F.coalesce("row_ord", "_m_ord")}).drop("_m_ord")
     be = F.coalesce("Brood_exp", F.lit(False))
@@ -206,7 +207,7 @@ def build_pairs(pairs: DataFrame, captures: DataFrame, labels: bool = False, sta
     }))
     # groups without any flag are left out: what matches none is FALSE
     only = F.max(F.col("brood").isNull())
-    fk, mk = ["PopID", "FemaleID"], ["PopID", "MaleID"]
+    fk, mk = ["FemaleID", "PopID"], ["MaleID", "PopID"]
     found = {"Female_exp": F.max("Female_exp"), "Male_exp": F.max("Male_exp")} | ({"extra_f": only} if labels else {})
     flags = j.groupBy(*fk).agg(*(c.alias(f"_any_{n}") for n, c in found.items()))
     flags = flags.where(reduce(or_, (F.col(f"_any_{n}") for n in found)))
@@ -232,8 +233,8 @@ def pair_order(pairs: DataFrame) -> DataFrame:
     p = pairs.withColumn("order", clutch_order("ClutchType_calculated"))
     k0 = F.coalesce(F.col("order"), F.lit(0))
     several = (F.min(k0) != F.max(k0))  # such groups are fewer than those of one value
-    fk = ["PopID", "BreedingSeason", "FemaleID"]
-    mk = ["PopID", "BreedingSeason", "MaleID"]
+    fk = ["FemaleID", "BreedingSeason", "PopID"]
+    mk = ["MaleID", "BreedingSeason", "PopID"]
     p, rows = join_null_safe(p, p.groupBy(*fk).agg(several.alias("_more_f")).where("_more_f"), fk), p
     p = join_null_safe(p, rows.groupBy(*mk).agg(several.alias("_more_m")).where("_more_m"), mk)
     cf = F.col("_more_f").isNull() & (F.col("Num_male_partners") == 2)

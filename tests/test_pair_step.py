@@ -1,5 +1,7 @@
 """The pair table makes each input once, and rows without a key, flag or group keep their values."""
 
+import re
+
 import pytest
 
 from broodline.functions.nulls import left_plus_missing
@@ -77,3 +79,14 @@ def test_seasons_stage_the_pair_table_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "stage", lambda df: calls.append(df.columns) or stage(df))
     Q.q_event_codes_by_season(spark, SF_SMALL)
     assert len(calls) == 1
+
+
+def _first_sort_keys(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return set(re.findall(r"\bSort \[(?:coalesce\()?(\w+)#", plan))
+
+
+def test_sorts_of_the_pair_table_compare_the_bird_first(tables):
+    # a population or season is shared by many rows, so it decides few comparisons
+    keys = _first_sort_keys(pairs.pairs_table(*tables, labels=True, stage=None))
+    assert keys and keys.isdisjoint({"PopID", "BreedingSeason"})
