@@ -67,7 +67,7 @@ def _event_code(c: Column, m: Column, p: Column, b: Column, k: Column, require_k
 def _presence(P: DataFrame, focal: str, partner: str) -> DataFrame:
     """(pop, year, _p, _known): the partners of a season, and whether with a known bird."""
     return (P.where(F.col(partner).isNotNull())
-            .groupBy("pop", "year", F.col(partner).alias("_p"))
+            .groupBy(F.col(partner).alias("_p"), "year", "pop")
             .agg(F.max(F.col(focal).isNotNull()).alias("_known")))
 
 
@@ -75,7 +75,7 @@ def _with_presence(g: DataFrame, pres: DataFrame, focal: str) -> DataFrame:
     """``g`` with what became of the earlier mate ``_p``: ``_b`` and ``_k`` of ``_event_code``."""
     # rows without a previous partner match nothing; the second key spreads them
     g = g.withColumn("_spread", F.when(F.col("_p").isNull(), F.xxhash64(focal)).otherwise(0))
-    g = join_null_safe(g, pres.withColumn("_spread", F.lit(0).cast("bigint")), ["pop", "year", "_p", "_spread"])
+    g = join_null_safe(g, pres.withColumn("_spread", F.lit(0).cast("bigint")), ["_p", "_spread", "year", "pop"])
     known = F.col("_p").isNotNull()
     return g.withColumns({"_b": F.when(known, F.col("_known").isNotNull()),
                           "_k": F.when(known, F.coalesce("_known", F.lit(False)))})
@@ -98,14 +98,15 @@ def event_codes(pairs: DataFrame, focal: str = "female",
     # table, which the planner broadcasts by its size and AQE splits the join beyond that
     years = P.select("pop", "year").distinct()
     recs = P.where(F.col(focal).isNotNull())
-    per_year = recs.groupBy("pop", focal, "year").agg(
+    # the bird is the first key, which the sorts below compare first
+    per_year = recs.groupBy(focal, "year", "pop").agg(
         *first_last_by(partner, order, "_first", "_last"),
         F.max(F.col(pair_num) == 2).alias("_pn2"),
         F.count(F.lit(1)).alias("_n"))
     grid = join_null_safe(recs.select("pop", focal).distinct(), years, ["pop"], "inner")
-    g = join_null_safe(grid, per_year, ["pop", focal, "year"])
-    w = Window.partitionBy("pop", focal).orderBy(F.col("year").asc_nulls_last())
-    wb = Window.partitionBy("pop", focal)
+    g = join_null_safe(grid, per_year, [focal, "year", "pop"])
+    w = Window.partitionBy(focal, "pop").orderBy(F.col("year").asc_nulls_last())
+    wb = Window.partitionBy(focal, "pop")
     g = g.select(
         "pop", focal, "year",
         F.col("_n").isNotNull().alias("captured"),
@@ -226,8 +227,9 @@ def wide_history(codes: DataFrame, focal: str = "female",
     """
     years = years if years is not None else observed_years(codes)
     named = codes.withColumn("_year", F.coalesce(F.col("year").cast("string"), F.lit(NO_YEAR)))
-    return (named.groupBy("pop", focal, "multi_partner")
-            .pivot("_year", [NO_YEAR if y is None else str(y) for y in years]).agg(F.max("event_code")))
+    names = [NO_YEAR if y is None else str(y) for y in years]
+    return (named.groupBy(focal, "pop", "multi_partner").pivot("_year", names).agg(F.max("event_code"))
+            .select("pop", focal, "multi_partner", *(F.col(f"`{n}`") for n in names)))
 
 
 def write_histories_per_population(codes: DataFrame, path: str) -> None:
@@ -256,7 +258,7 @@ def write_wide_per_population(codes: DataFrame, focal: str, path: str, birds_in_
     # a bird has a code for each year of its population, so its codes are in the header's order
     at = F.struct(F.col("year").isNull().alias("_null"), F.col("year").alias("_year"), "event_code")
     known = codes.withColumn("_pop", F.coalesce(F.concat(F.lit("p"), "pop"), F.lit("unknown")))
-    birds = stage(known.groupBy("_pop", "pop", focal, "multi_partner").agg(F.sort_array(F.collect_list(at)).alias("_codes")))
+    birds = stage(known.groupBy(focal, "_pop", "pop", "multi_partner").agg(F.sort_array(F.collect_list(at)).alias("_codes")))
     years = known.groupBy("_pop", "pop", "year").agg(F.lit(1)).groupBy("_pop", "pop").agg(F.transform(F.sort_array(
         F.collect_list(F.struct(F.col("year").isNull().alias("_null"), "year", year.alias("_name")))), lambda y: y["_name"]).alias("_years"))
     sizes = birds.groupBy("_pop").agg(F.count(F.lit(1)).alias("_n"))

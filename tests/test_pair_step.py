@@ -5,7 +5,7 @@ import re
 import pytest
 
 from broodline.functions.nulls import left_plus_missing
-from broodline.operators import pairs
+from broodline.operators import history, pairs
 from broodline.plans import queries as Q
 from broodline.session import stage
 from broodline.sources.schemas import BROOD_SCHEMA, CAPTURE_SCHEMA
@@ -90,3 +90,11 @@ def test_sorts_of_the_pair_table_compare_the_bird_first(tables):
     # a population or season is shared by many rows, so it decides few comparisons
     keys = _first_sort_keys(pairs.pairs_table(*tables, labels=True, stage=None))
     assert keys and keys.isdisjoint({"PopID", "BreedingSeason"})
+
+
+@pytest.mark.parametrize("focal", ["female", "male"])
+def test_sorts_of_the_histories_compare_the_bird_first(tables, focal):
+    codes = history.event_codes(stage(pairs.final_pairs(pairs.pairs_table(*tables))), focal)
+    wide = history.wide_history(codes, focal, years=[2000, 2001, None])
+    assert wide.columns == ["pop", focal, "multi_partner", "2000", "2001", "NA"]
+    assert focal in _first_sort_keys(wide)
